@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets
+from . import licenses, media, mixing, secrets
 from .shared import documents
 
 
@@ -15,6 +15,24 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["phrase"])
+    starts = F.transform(base, lambda s: s["start"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    best = F.array_max(F.transform("spans", lambda s: s["containment"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("spans")).alias("labels"),
+        F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     _, findings = secrets.update(docs)
@@ -34,5 +52,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_media": op1_media, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
+QUERIES = {"op1_media": op1_media, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
 ORACLE_SQL: dict[str, str] = {}

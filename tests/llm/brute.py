@@ -78,3 +78,25 @@ def water(sizes: dict, weights=(5, 2, 1), epochs=3):
         if not over:
             return fixed | {s: level * w[s] for s in rest}
         fixed |= {s: float(epochs * sizes[s]) for s in over}
+
+
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def license_row(text, templates, step=64, threshold=0.8):
+    """(n_words, places, base labels, labels, score) by trying every template on every block."""
+    w = ALNUM_WORD.findall(ascii_lower(text))
+    places, base, labels, score = [], set(), set(), 0.0
+    for t in templates:
+        n = len(t.words)
+        if t.exact:
+            at = [i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) == t.words]
+            places += at
+            base |= {t.label} if at else set()
+            continue
+        for b in range(0, len(w), step):
+            share = len(set(t.words) & set(w[b : b + 2 * step])) / len(set(t.words))
+            if share >= threshold - 1e-12:
+                labels.add(t.label)
+                score = max(score, share)
+    return len(w), sorted(places), sorted(base), sorted(base | labels), 1.0 if base else score
