@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, secrets
+from . import fingerprints, licenses, media, mixing, secrets
 from .shared import documents
 
 
@@ -52,5 +52,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_media": op1_media, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_likeness(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_media": op1_media, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
 ORACLE_SQL: dict[str, str] = {}
