@@ -120,3 +120,32 @@ def distinct_per_row(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
     return v[keep], np.bincount(r[keep], minlength=len(counts))
+
+
+#: Classes of bytes: 0 white space, 1 letters, digits and all beyond ASCII, 2 other signs.
+TOKEN_CLASS = np.full(256, 2, np.uint8)
+TOKEN_CLASS[list(b" \t\n\x0b\x0c\r")] = 0
+TOKEN_CLASS[ALNUM] = 1
+TOKEN_CLASS[65:91] = 1
+
+
+def token_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``word_bounds``, for the longest runs of letters and of other signs."""
+    n = len(buf)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    kind = TOKEN_CLASS[buf]
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    turn = np.ones(n + 1, bool)
+    turn[1:n] = kind[1:] != kind[:-1]
+    turn |= cut
+    starts = np.flatnonzero(turn[:n] & (kind > 0))
+    ends = np.flatnonzero(turn[1:] & (kind > 0)) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row; ``first`` as from ``word_bounds``."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[first[1:]] - total[first[:-1]]

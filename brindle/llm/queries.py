@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, media, mixing, secrets
-from .shared import documents
+from . import fingerprints, licenses, media, mixing, quality, secrets, toxicity
+from .shared import documents, labels
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     _, findings = secrets.update(docs)
@@ -48,6 +52,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,5 +64,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_media": op1_media, "op2_licenses": op2_licenses, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_media": op1_media, "op2_licenses": op2_licenses, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_toxicity": op7_toxicity, "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
 ORACLE_SQL: dict[str, str] = {}
