@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, media, mixing, quality, secrets, toxicity
-from .shared import documents, labels
+from . import fingerprints, licenses, media, mixing, packing, quality, secrets, tokens, toxicity
+from .shared import documents, labels, scratch_path
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = tokens.encode(documents(spark, sf_dir))
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(encoded, path)
+    return tokens.token_digests(tokens.read_tokens(spark, path, encoded.schema))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -56,6 +63,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.token_sizes(documents(spark, sf_dir)))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,5 +75,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_media": op1_media, "op2_licenses": op2_licenses, "op5_quality": op5_quality, "op6_secrets": op6_secrets, "op7_toxicity": op7_toxicity, "op9_mixing": op9_mixing, "op10_fingerprints": op10_fingerprints}
+QUERIES = {
+    "op1_media": op1_media,
+    "op2_licenses": op2_licenses,
+    "op4_tokens": op4_tokens,
+    "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLE_SQL: dict[str, str] = {}
