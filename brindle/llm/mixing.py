@@ -117,6 +117,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix(docs.select(*names), id_col, text_col, source_col, carry=others, **options)
     copies = F.when(F.col("repeats") > 0, F.sequence(F.lit(1), F.col("repeats"))).otherwise(F.array().cast("array<bigint>"))
     copies = F.when(F.col("part") > 0, F.array_append(copies, F.lit(0).cast("long"))).otherwise(copies)
-    piece = F.regexp_extract(F.col(text_col), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){0,"), F.col("part").cast("string"), F.lit("}")), 0)
+    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
+    reach = lambda parts: F.aggregate(F.slice(F.transform(parts, F.length), 1, F.col("part").cast("int")), F.lit(0), lambda n, x: n + x)
+    piece = F.substring(F.col(text_col), F.lit(1), reach(F.split(text_col, WORD)) + reach(words))
     cut = (F.col("__copy") == 0) & (F.col("part") < F.col("size"))
     return plan.withColumn("__copy", F.explode(copies)).withColumn(text_col, F.when(cut, piece).otherwise(F.col(text_col))).select(*names)

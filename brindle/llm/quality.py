@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .kernels import mix, pairs, row_sums, slices, span_hash, token_bounds
-from .training import fit, scored, sigmoid, training_rows
+from .training import accepted, fit, scored, sigmoid, training_rows
 
 HASH_BITS = 20
 SCALE = 8.0
@@ -109,3 +109,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", p
     """(id, held_out, score, predicted) of every document."""
     model = fit(training_rows(docs, labels, label, per_class, id_col, text_col), learn)
     return scored(docs, scorer(model), threshold, id_col, text_col)
+
+
+def good_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected; the model learns from ``labels`` of ``labelled``."""
+    model = fit(training_rows(labelled, labels, label, per_class), learn)
+    return accepted(docs, scorer(model), threshold, text_col)

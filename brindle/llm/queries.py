@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, media, mixing, packing, quality, secrets, tokens, toxicity
+from . import fingerprints, licenses, media, mixing, near_dedup, packing, quality, secrets, tokens, toxicity
 from .shared import documents, labels, scratch_path
 
 
@@ -33,6 +33,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=2, threshold=80)
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.encode(documents(spark, sf_dir))
     path = scratch_path(spark, "tokens")
@@ -78,6 +82,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_licenses": op2_licenses,
+    "op3_near_dedup": op3_near_dedup,
     "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,

@@ -155,23 +155,28 @@ def path_findings(versions: DataFrame, path_cols: tuple[str, ...], findings: Dat
 
 
 def redacted(versions: DataFrame, text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with every finding's code points in the text column replaced by ``mark``.
+    """``versions`` with every finding's code points in the text column replaced by ``mark``; nulls stay.
 
-    The text travels with its blob's spans: contents are joined on the blob, and the pieces between
-    merged spans are put together again.
+    Texts are shuffled once, as blobs: those with findings are rewritten where they are, and each
+    path's other columns fetch the text of their blob.
     """
-    _, findings = update(versions, text_col, None, rules)
-    spans = findings_by_blob(findings, rules)
-    names = versions.columns
-    keyed = versions.withColumn("__blob", blob_address(text_or_empty(text_col)))
-    both = keyed.join(spans.withColumnRenamed("found", "__found"), keyed["__blob"] == spans["blob"], "left")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    blobs = unseen(versions, text_col, None, rules)
+    spans = findings_by_blob(scan(blobs, rules), rules)
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
-        gap = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        inside = x["start"] < acc["at"]
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
+        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        out = F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.lit(mark))))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("__found", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), 2147483647)))
-    return both.withColumn(text_col, F.when(F.col("__found").isNull(), F.col(text_col)).otherwise(done)).select(*names)
+    def finish(acc):
+        rest = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))
+        return F.concat(F.array_join(acc["out"], ""), rest)
+
+    cleaned = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", begin, step, finish))
+    clean = blobs.join(spans, "blob", "left").select("blob", cleaned.alias("__clean"))
+    names = versions.columns
+    others = [F.col(c) for c in names if c != text_col]
+    keyed = versions.select(*others, F.col(text_col).isNull().alias("__null"), blob_address(text_or_empty(text_col)).alias("__blob"))
+    both = keyed.join(clean, keyed["__blob"] == clean["blob"])
+    return both.withColumn(text_col, F.when(~F.col("__null"), F.col("__clean"))).select(*names)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import slices
 from .shared import text_or_empty
 
 FOLDS = 5
@@ -53,8 +54,6 @@ def fit(rows: DataFrame, learn: Callable[[pa.Table], dict[str, np.ndarray]]) ->
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every text; ``score`` takes the bytes and offsets of a slice."""
-    from .kernels import slices
-
     kept = docs.select(F.col(id_col).alias(id_col), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("__text"))
     schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
 
@@ -67,5 +66,18 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
     return kept.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``, all columns unchanged, without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [score(buf, off) for _, _, buf, off in slices(batch.column(at))]
+            if parts:
+                yield batch.filter(pa.array(np.concatenate(parts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
