@@ -1,6 +1,6 @@
 """Registered queries of the retrieval and analytics operators, with their SQL twins."""
 
-from . import language, search
+from . import analytics, language, search
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "language", "search"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "language", "search"]
