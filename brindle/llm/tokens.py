@@ -19,8 +19,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from .shared import shuffle_width, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Distinct pieces whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Distinct pieces whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED = 500_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(f"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ſ]*")
@@ -48,6 +48,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in printable else chr(next(free)) for b in range(256)}
 
 
+class Pieces(dict):
+    """Numbers of distinct pieces; the ids of piece k are ``ids[start[k] : start[k + 1]]``."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+        self.ids, self.start = array("i"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        self.ids.extend(x.id for x in self.model.tokenize(letters))
+        self.start.append(len(self.ids))
+        self[piece] = k = len(self)
+        return k
+
+
 class Encoder:
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,20 +75,28 @@ class Encoder:
             path = public_tokenizers.path(tokenizer)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.library.model
-        self.letters = byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self.library.model)
 
     def __call__(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-        pieces = _PIECES.findall(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for p in set(pieces) - self.known.keys():
-            letters = p.encode().decode("latin-1").translate(self.letters)
-            self.known[p] = tuple(x.id for x in self.model.tokenize(letters))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.int32)
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = Pieces(self.library.model)
+        k = np.fromiter(map(self.pieces.__getitem__, _PIECES.findall(text)), np.int64)
+        ids, start = np.frombuffer(self.pieces.ids, np.int32), np.frombuffer(self.pieces.start, np.int64)
+        n = start[k + 1] - start[k]
+        ends = np.cumsum(n)
+        return ids[np.arange(ends[-1] if len(k) else 0) + np.repeat(start[k] - (ends - n), n)]
+
+
+def worker_encoder(tokenizer: str) -> Encoder:
+    """This worker process's encoder: kept with the library's module, as tasks come and go in one process."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+    if tokenizer not in kept:
+        kept[tokenizer] = Encoder(tokenizer)
+    return kept[tokenizer]
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +108,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total, encoder = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or worker_encoder(tokenizer)
             for a, b, buf, off in slices(batch.column(1)):
                 ids = [encoder(buf[x:y].tobytes().decode()) for x, y in zip(off[:-1], off[1:])]
                 n = np.array([len(x) + 1 for x in ids])
