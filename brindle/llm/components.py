@@ -11,9 +11,9 @@ from .shared import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a and b); root is the smallest node reachable.
 
-    Each round points every node at its smallest neighbour (or itself), follows those pointers two
-    times twice over, and replaces the ends of every edge by where they point; edges within one node
-    vanish, so the table shrinks geometrically.  Nothing is collected but whether edges remain.
+    Each round points every node at its smallest neighbour (or itself) and replaces the ends of every
+    edge by where they point; edges within one node vanish.  Round k first doubles the pointers'
+    reach k times, so stars take one or two cheap rounds and even long chains few.  Nothing is collected but whether edges remain.
     Pointers at a hub are many, but sums before the shuffle and adaptive skew joins spread them.
     """
     tidy = lambda lo, hi: edges_between(F.col(lo), F.col(hi))
@@ -22,14 +22,15 @@ def components(edges: DataFrame) -> DataFrame:
         return F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")
 
     live = checkpointed(edges.select(*tidy("a", "b")).where("lo < hi").distinct())
-    labels = None
+    labels, doublings = None, 0
     while not live.isEmpty():
         near = live.select(F.col("hi").alias("v"), F.col("lo").alias("m")).unionByName(live.select(F.col("lo").alias("v"), F.col("lo").alias("m")))
         jump = near.groupBy("v").agg(F.min("m").alias("m"))
-        for _ in range(2):
+        for _ in range(doublings):
             there = jump.select(F.col("v").alias("__v"), F.col("m").alias("__m"))
             jump = jump.join(there, F.col("m") == F.col("__v")).select("v", F.col("__m").alias("m"))
         jump = checkpointed(jump)
+        doublings += 1
         if labels is None:
             labels = jump.select(F.col("v").alias("node"), F.col("m").alias("root"))
         else:
