@@ -113,12 +113,14 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, the last time perhaps only its first words."""
     names = docs.columns
-    others = tuple(c for c in names if c not in (id_col, source_col))
-    plan = mix(docs.select(*names), id_col, text_col, source_col, carry=others, **options)
+    inner = docs.select(F.col(id_col).alias("__i"), F.col(source_col).alias("__src"), F.col(text_col).alias("__t"), F.struct(*names).alias("__row"))
+    plan = mix(inner, "__i", "__t", "__src", carry=("__row",), **options)
+    text = F.col("__row")[text_col]
     copies = F.when(F.col("repeats") > 0, F.sequence(F.lit(1), F.col("repeats"))).otherwise(F.array().cast("array<bigint>"))
     copies = F.when(F.col("part") > 0, F.array_append(copies, F.lit(0).cast("long"))).otherwise(copies)
-    words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     reach = lambda parts: F.aggregate(F.slice(F.transform(parts, F.length), 1, F.col("part").cast("int")), F.lit(0), lambda n, x: n + x)
-    piece = F.substring(F.col(text_col), F.lit(1), reach(F.split(text_col, WORD)) + reach(words))
+    piece = F.substring(text, F.lit(1), reach(F.split(text, WORD)) + reach(words))
     cut = (F.col("__copy") == 0) & (F.col("part") < F.col("size"))
-    return plan.withColumn("__copy", F.explode(copies)).withColumn(text_col, F.when(cut, piece).otherwise(F.col(text_col))).select(*names)
+    each = plan.withColumn("__copy", F.explode(copies)).withColumn("__text", F.when(cut, piece).otherwise(text))
+    return each.select(*(F.col("__text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in names))

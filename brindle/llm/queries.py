@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, licenses, media, mixing, near_dedup, packing, quality, secrets, tokens, toxicity
+from .oracles import ORACLE_SQL
 from .shared import documents, labels, scratch_path
 
 
@@ -79,6 +80,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(documents(spark, sf_dir))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_licenses": op2_licenses,
@@ -91,4 +94,3 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}

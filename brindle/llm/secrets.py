@@ -174,9 +174,9 @@ def redacted(versions: DataFrame, text_col: str = "text", mark: str = "[secret]"
         return F.concat(F.array_join(acc["out"], ""), rest)
 
     cleaned = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", begin, step, finish))
-    clean = blobs.join(spans, "blob", "left").select("blob", cleaned.alias("__clean"))
+    clean = blobs.join(spans, "blob", "left").select(F.col("blob").alias("__of"), cleaned.alias("__clean"))
     names = versions.columns
     others = [F.col(c) for c in names if c != text_col]
     keyed = versions.select(*others, F.col(text_col).isNull().alias("__null"), blob_address(text_or_empty(text_col)).alias("__blob"))
-    both = keyed.join(clean, keyed["__blob"] == clean["blob"])
+    both = keyed.join(clean, F.col("__blob") == F.col("__of"))
     return both.withColumn(text_col, F.when(~F.col("__null"), F.col("__clean"))).select(*names)

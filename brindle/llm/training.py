@@ -40,15 +40,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 def fit(rows: DataFrame, learn: Callable[[pa.Table], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Run ``learn`` on the bounded sample in one task; its arrays come back as one small row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        table = pa.Table.from_batches(got) if got else pa.table({"__id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "y": pa.array([], pa.int32())})
+    def packed(table: pa.Table) -> bytes:
         out = io.BytesIO()
         np.savez_compressed(out, **learn(table.sort_by("__id")))
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
+        return out.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(pa.Table.from_batches(got))], pa.binary())], names=["model"])
 
-    (model,) = rows.repartition(1).mapInArrow(run, "model binary").collect()
-    with np.load(io.BytesIO(model["model"])) as z:
+    models = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    nothing = pa.table({"__id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "y": pa.array([], pa.int32())})
+    with np.load(io.BytesIO(models[0]["model"] if models else packed(nothing))) as z:
         return {k: z[k] for k in z.files}
 
 

@@ -1,0 +1,122 @@
+"""Nulls, empty and long texts, repeats, ties, empty tables and clashing extra columns, for every operator."""
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.llm import fingerprints, licenses, media, mixing, near_dedup, packing, quality, secrets, tokens, toxicity
+
+LONG = " ".join(f"word{i % 977}" for i in range(60_000))
+ROWS = [
+    (1, None, "en", None), (2, "", "en", "a"), (3, "   \n\t", None, "a"), (4, "one", "en", "a"), (5, "same text here twice", "en", "b"),
+    (6, "same text here twice", "en", "b"), (6, "same text here twice", "en", "b"), (7, LONG, "en", "b"), (8, "Größe naïve 日本語 ½ password=abcdefgh12", "de", "é"),
+    (9, "Licensed under the MIT License, and the GNU General Public License", "en", None), (None, "no id at all", "en", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Documents with more columns, named like the operators' own."""
+    rows = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    extra = {c: F.lit(1) for c in ("n", "size", "target", "score", "kind", "blob", "found", "bucket", "b", "extra", "i", "t", "grp", "id", "task", "content", "node", "part", "start", "piece", "y", "__id", "__text")}
+    return rows.withColumns(extra).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("doc_id = -1")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(4, 1, 0), (5, 0, 1), (7, 1, 0), (8, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def rows_of(df):
+    out = df.collect()
+    assert len(out) == len(ROWS)
+    return out
+
+
+def test_media(docs, none):
+    f = media.media_features(media.texts_to_media(docs), ("doc_id", "n_bytes"))
+    got = {r.doc_id: r for r in rows_of(f)}
+    assert got[1].payload_bytes == got[2].payload_bytes == 576 and got[1].feature == got[2].feature and got[1].error is None
+    text = {r[0]: r[1] for r in ROWS}
+    for i, r in got.items():
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == brute.media_row(text[i])
+    assert media.media_features(media.texts_to_media(none), ("doc_id",)).count() == 0
+
+
+def test_licenses(docs, none):
+    got = {r.doc_id: r for r in rows_of(licenses.license_scan(docs))}
+    assert {s.label for s in got[9].spans} >= {"mit", "gpl"} and got[1].n_words == 0 and got[1].spans == []
+    assert licenses.license_scan(none).count() == 0
+
+
+def test_near_duplicates(docs, none):
+    got = rows_of(near_dedup.near_duplicates(docs, shingle_words=2))
+    by = {r.doc_id: r for r in got}
+    assert by[6].component_id == 5 and not by[6].kept and by[5].kept
+    assert all(by[i].n_shingles == 0 and by[i].component_id == i for i in (1, 2, 3))
+    assert by[None].component_id is None and by[None].kept and by[4].n_shingles == 1
+    assert near_dedup.near_duplicates(none).count() == 0
+
+
+def test_tokens(spark, docs, none, tmp_path):
+    for name, df, n in (("all", docs, len(ROWS)), ("none", none, 0)):
+        e = tokens.encode(df)
+        tokens.write_tokens(e, str(tmp_path / name))
+        got = tokens.token_digests(tokens.read_tokens(spark, str(tmp_path / name), e.schema)).orderBy("start").collect()
+        assert len(got) == n
+    ids = [r.doc_id for r in tokens.token_digests(tokens.read_tokens(spark, str(tmp_path / "all"), tokens.encode(docs).schema)).orderBy("start").collect()]
+    assert ids == [None, 1, 2, 3, 4, 5, 6, 6, 7, 8, 9]
+    one = tokens.read_tokens(spark, str(tmp_path / "all"), tokens.encode(docs).schema, ids=[2]).collect()
+    assert len(one) == 1 and one[0].tokens == [tokens.END_ID]
+
+
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers(docs, none, labels, module, label, monkeypatch):
+    if module is toxicity:
+        monkeypatch.setattr(toxicity, "LEAST_STEPS", 50)
+    run = quality.quality_scores if module is quality else toxicity.toxicity_scores
+    got = {r.doc_id: r for r in rows_of(run(docs, labels))}
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].score == got[2].score and got[None].held_out is False
+    assert run(none, labels).count() == 0
+    assert all(abs(r.score - 0.5) < 1e-9 for r in run(docs, labels.where("doc_id = -1")).collect()) or module is toxicity
+
+
+def test_secrets(docs, none):
+    _, findings = secrets.update(docs)
+    got = {r.doc_id: r for r in rows_of(secrets.path_findings(docs, ("doc_id",), findings))}
+    assert [(s.kind, s.start, s.end) for s in got[8].found] == [("assign", 18, 37)] and got[1].found == []
+    assert secrets.path_findings(none, ("doc_id",), findings).count() == 0
+    clean = {r.doc_id: r.text for r in rows_of(secrets.redacted(docs))}
+    assert clean[8] == "Größe naïve 日本語 ½ [secret]" and clean[1] is None and clean[7] == LONG
+
+
+def test_mixing(docs, none):
+    got = rows_of(mixing.mix(docs))
+    by = {r.doc_id: r for r in got}
+    assert by[1].size == 0 and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    want: dict = {}
+    for r in got:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert {k: v for k, v in words.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_packing(docs, none):
+    got = packing.packed(packing.token_sizes(docs)).collect()
+    assert sum(r.length for r in got) == sum(len(brute.words(r[1])) + 1 for r in ROWS)
+    assert packing.packed(packing.token_sizes(none)).count() == 0
+
+
+def test_fingerprints(docs, none):
+    got = {r.doc_id: r for r in rows_of(fingerprints.edit_likeness(docs))}
+    assert got[1].fingerprint == got[2].fingerprint == "" and got[5].fingerprint == got[6].fingerprint
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values()) and got[7].n_chars == len(LONG)
+    assert fingerprints.edit_likeness(none).count() == 0
