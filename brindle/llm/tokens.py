@@ -63,6 +63,17 @@ class Pieces(dict):
         return k
 
 
+class Counts(dict):
+    """How many ids each distinct piece has."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
+        return n
+
+
 class Encoder:
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,6 +87,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.pieces = Pieces(self.library.model)
+        self.counts = Counts(self.library.model)
 
     def __call__(self, text: str) -> np.ndarray:
         if not _PLAIN.fullmatch(text):
@@ -88,6 +100,14 @@ class Encoder:
         ends = np.cumsum(n)
         return ids[np.arange(ends[-1] if len(k) else 0) + np.repeat(start[k] - (ends - n), n)]
 
+    def count(self, text: str) -> int:
+        """How many ids ``text`` has, without forming them where it is plain."""
+        if not _PLAIN.fullmatch(text):
+            return len(self.library.encode(text, add_special_tokens=False))
+        if len(self.counts) > REMEMBERED:
+            self.counts = Counts(self.library.model)
+        return sum(map(self.counts.__getitem__, _PIECES.findall(text)))
+
 
 def worker_encoder(tokenizer: str) -> Encoder:
     """This worker process's encoder: kept with the library's module, as tasks come and go in one process."""
@@ -127,6 +147,21 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, id
     return ranged.mapInArrow(run, schema)
 
 
+def id_counts(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens): the ``n`` of ``encode``, end id included, of rows left where they are."""
+    kept = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            encoder = encoder or worker_encoder(tokenizer)
+            for a, b, buf, off in slices(batch.column(1)):
+                n = [encoder.count(buf[x:y].tobytes().decode()) + 1 for x, y in zip(off[:-1], off[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
+
+    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_tokens long")
+
+
 def write_tokens(encoded: DataFrame, path: str, id_col: str = "doc_id", stripe_bytes: int = 16 << 20, row_stride: int = 1000) -> None:
     """One ORC file for each range of documents."""
     (

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, near_dedup, packing, quality, secrets
+from brindle.llm import mixing, near_dedup, packing, quality, secrets, tokens
 from brindle.llm.shared import documents, labels, written
 
 
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of the permitted lengths."""
-    return packing.packed(packing.token_sizes(docs))
+    return packing.packed(tokens.id_counts(docs))
 
 
 STAGES = [
