@@ -45,10 +45,11 @@ BASE_RULES = (
 )
 #: Further kinds of this operator.
 MORE_RULES = (
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1, "-----BEGIN "),
+    # from BEGIN through the END line, or to the end of the text if there is none
+    Rule("private_key", 2, r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\z)", 0, 1, "-----BEGIN [A-Z0-9 ]*PRIVATE KEY"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("hosted_token", 1, r"(?:gh[oprsu]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,})", 0, 1, r"gh[oprsu]_|xox[abp]-"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{1,64}@", 0, 1, "://[^ /:@]{1,64}:"),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1, r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
