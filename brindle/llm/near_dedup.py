@@ -196,15 +196,17 @@ class Block:
 def verify(table: pa.Table, size: int, threshold: int) -> pa.Table:
     """The forests of all block pairs in a task's rows (grp, i, j, side, id, text)."""
     table = table.sort_by([(c, "ascending") for c in ("grp", "i", "j", "side", "id")])
-    sets, sigs = [], []
+    sets, sigs, full = [], [], []
     for _, _, buf, off in slices(table["text"]):
         _, _, ids, counts = row_shingles(buf, off, size)
         sigs.append(minima(ids, counts))
         ends = np.cumsum(counts)
-        sets += [np.unique(ids[a:b]) for a, b in zip(ends - counts, ends)]
-    sig = np.concatenate(sigs)
-    key = np.stack([table[c].to_numpy() for c in ("grp", "i", "j")])
-    ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+        sets += [np.unique(ids[a:b]) for a, b in zip(ends - counts, ends) if b > a]
+        full.append(counts > 0)
+    sig, full = np.concatenate(sigs), np.concatenate(full)
+    # an id of several texts may also have one without shingles
+    key = np.stack([table[c].to_numpy()[full] for c in ("grp", "i", "j")])
+    ids, side = table["id"].to_numpy()[full], table["side"].to_numpy()[full]
     cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
     out = []
     for a, b in zip(cut[:-1], cut[1:]):
@@ -260,6 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the first document of each class only."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each class only, that of the smallest id (a null id last).
+
+    Rows are told apart by a key of their own, as ids may be null or repeated.
+    """
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(keyed, "__row", text_col, **options)
+    ids = keyed.select(F.col("__row").alias("__of"), F.col(id_col).alias("__id"))
+    order = F.struct(F.col("__id").isNull(), "__id", "__row")
+    first = classes.join(ids, F.col("__row") == F.col("__of")).groupBy("component_id").agg(F.min(order).alias("__first"))
+    return keyed.join(first.select(F.col("__first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
