@@ -69,7 +69,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(tokens.id_counts(documents(spark, sf_dir)))
+    return packing.packed(documents(spark, sf_dir))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

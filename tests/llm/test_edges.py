@@ -110,9 +110,11 @@ def test_mixing(docs, none):
 
 
 def test_packing(docs, none):
-    got = packing.packed(packing.token_sizes(docs)).collect()
-    assert sum(r.length for r in got) == sum(len(brute.words(r[1])) + 1 for r in ROWS)
-    assert packing.packed(packing.token_sizes(none)).count() == 0
+    e = tokens.worker_encoder(tokens.TOKENIZER)
+    got = packing.packed(docs).collect()
+    assert sum(r.n_tokens for r in got) == sum(len(e(r[1] or "")) + 1 for r in ROWS)
+    assert sorted(p.copy for r in got for p in r.parts if p.id == 6) == [0, 1]
+    assert packing.packed(none).count() == 0
 
 
 def test_fingerprints(docs, none):

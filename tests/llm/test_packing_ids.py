@@ -1,54 +1,120 @@
-"""Sequences are packed by ids of the tokenizer, in the query and in the pipeline's stage."""
+"""Sequences hold the tokenizer's ids, in the query and in the pipeline's stage; packing is best fit."""
 
-import brute
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from brindle.llm import queries, tokens
+from brindle.llm import packing, queries, tokens
 
 ROWS = [
     (1, None), (2, ""), (3, "plain words, and some more of them"), (4, "日本語のテキスト" * 900), (5, "QUJD" * 9000), (6, " \t\n  x"),
-    (None, "no id"), (7, "twice"), (7, "twice"), (8, "naïve Größe ½ " * 400),
+    (None, "no id"), (7, "twice"), (7, "twice"), (8, "naïve Größe ½ " * 400), (9, "a mark <|endoftext|> inside"), (None, "no id"),
 ]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
 
 
-def filled(rows):
-    """Ids packed of each document; each sequence holds what it may."""
-    packed: dict = {}
-    used: dict = {}
-    for r in rows:
-        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
-        used[r.bin_id] = (used.get(r.bin_id, (0, 0))[0] + r.length, r.capacity)
-    assert all(n <= c for n, c in used.values())
-    return packed
+def encoded(library, text):
+    return [*library.encode(text or "", add_special_tokens=False).ids, tokens.END_ID]
 
 
-def lengths(rows, library):
-    want: dict = {}
-    for i, text in rows:
-        want[i] = want.get(i, 0) + len(library.encode(text or "", add_special_tokens=False).ids) + 1
-    return want
+def unpacked(rows):
+    """The ids of every (document, copy), put together again from the sequences."""
+    out: dict = {}
+    for r in rows:
+        assert r.n_tokens == len(r.tokens) <= r.capacity and r.capacity == min(c for c in packing.CAPACITIES if c >= r.n_tokens)
+        at = 0
+        for p in r.parts:
+            assert p.offset == at
+            at += p.length
+            out.setdefault((p.id, p.copy), {})[p.start] = r.tokens[p.offset : at]
+        assert at == r.n_tokens
+    whole = {}
+    for key, pieces in out.items():
+        assert all(len(pieces[s]) == max(packing.CAPACITIES) for s in sorted(pieces)[:-1])
+        whole[key] = [x for s in sorted(pieces) for x in pieces[s]]
+    return whole
 
 
-def test_op8_packs_ids(spark, sf, library):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = lengths(docs, library)
-    assert filled(queries.op8_packing(spark, sf).collect()) == want
-    assert sum(want.values()) > 2 * sum(len(brute.words(t)) + 1 for _, t in docs)
+def test_op8_holds_every_text(spark, sf, library):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op8_packing(spark, sf).collect()
+    assert unpacked(got) == {(i, 0): encoded(library, t) for i, t in docs.items()}
+    assert sum(r.n_tokens for r in got) > 0.9 * sum(r.capacity for r in got)
 
 
-def test_the_pipeline_packs_ids(spark, sf, library):
+def test_the_pipeline_stage_holds_every_copy(spark, sf, library):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
-    got = corpus_pipeline.pack_sequences(spark, docs, sf).collect()
-    assert filled(got) == lengths(ROWS, library)
-    assert max(r.piece for r in got if r.doc_id in (4, 5)) >= 1 and max(r.length for r in got) == 4096
+    want: dict = {}
+    for i, text in ROWS:
+        want[i, sum(k[0] == i for k in want)] = encoded(library, text)
+    assert unpacked(corpus_pipeline.pack_sequences(spark, docs, sf).collect()) == want
     assert corpus_pipeline.pack_sequences(spark, docs.where("doc_id = -1"), sf).count() == 0
+
+
+def test_packing_does_not_depend_on_partitions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = [sorted(map(str, packing.packed(d, shard_bytes=1 << 17).select("bin_id", "n_tokens", "parts").collect())) for d in (docs.repartition(2), docs.repartition(5, "source"))]
+    assert both[0] == both[1] and len({r.split("bin_id=")[1].split(",")[0] for r in both[0]}) == len(both[0])
+
+
+def test_a_row_that_recurs_often_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REPEATS", 10)
+    docs = spark.createDataFrame([(1, "the same row again")] * 200 + [(2, "another")], "doc_id long, text string")
+    got = packing.packed(docs, shard_bytes=500).collect()
+    assert sum(len(r.parts) for r in got) == 201 and len({r.bin_id >> 32 for r in got}) > 3
+
+
+def plain_best_fit(lengths, capacities, cost):
+    """The rules by brute force: each piece into the tightest open bin, else the cheapest one opens."""
+    bins: list[dict] = []
+    for k, n in enumerate(lengths):
+        fits = [b for b in bins if b["room"] >= n]
+        if fits:
+            least = min(b["room"] for b in fits)
+            b = [b for b in fits if b["room"] == least][-1]
+        else:
+            def rate(c):
+                room = c - n
+                come = sum(x for x in lengths[k + 1 :] if x <= room)
+                return cost.of(c) / (n + min(room, come)), c
+
+            b = {"room": min((c for c in capacities if c >= n), key=rate), "in": []}
+            bins.append(b)
+        b["in"].append(n)
+        b["room"] -= n
+    return sorted(tuple(b["in"]) for b in bins)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 700), max_size=80), st.sampled_from([packing.Cost(), packing.Cost(0, 1e12), packing.Cost(500, 4096)]))
+def test_packing_is_best_fit(lengths, cost):
+    lengths = np.array(sorted(lengths, reverse=True), np.int64)
+    caps = (256, 512, 1024)
+    where, offset, cap = packing.pack(lengths, caps, cost)
+    got = []
+    for b in sorted(set(where.tolist())):
+        inside = sorted((int(o), int(n)) for w, o, n in zip(where, offset, lengths) if w == b)
+        assert inside[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(inside, inside[1:]))
+        used = sum(n for _, n in inside)
+        assert {int(c) for w, c in zip(where, cap) if w == b} == {min(c for c in caps if c >= used)}
+        got.append(tuple(n for _, n in inside))
+    # bins of equal room are alike, so what matters is how much each holds
+    want = plain_best_fit(lengths.tolist(), caps, cost)
+    assert sorted(map(sum, got)) == sorted(map(sum, want)) and sorted(map(len, got)) == sorted(map(len, want)) and sorted(x for g in got for x in g) == sorted(lengths.tolist())
+
+
+def test_the_opening_follows_what_is_to_come():
+    caps = (512, 1024, 2048, 4096)
+    alone = packing.pack(np.array([300]), caps)[2]
+    upto = lambda xs: np.concatenate([[0], np.cumsum(xs)])
+    many = [300] * 50
+    assert alone.tolist() == [512] and packing.opening(0, [300], upto([300]), caps, packing.Cost()) == 512
+    assert packing.opening(0, many, upto(many), caps, packing.Cost()) > 512
