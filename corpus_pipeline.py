@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the
 columns of ``documents``; the last one returns the packed sequences.  Stages are written as Parquet
 in the shared folder and read again, so a lost executor costs a part of one stage only.
+
+Cases, for every stage: null and empty texts go through (the classifier judges them by its bias
+alone, no stage links, redacts or repeats them); null and repeated ids are rows of their own; ties
+are broken by id or text; further columns, whatever their names, are kept by all stages but the
+last; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, near_dedup, packing, quality, secrets, tokens
+from brindle.llm import mixing, near_dedup, packing, quality, secrets
 from brindle.llm.shared import documents, labels, written
 
 
@@ -40,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of the permitted lengths."""
-    return packing.packed(tokens.id_counts(docs))
+    """Token sequences of the permitted lengths, with the document, copy and place of every piece."""
+    return packing.packed(docs)
 
 
 STAGES = [
