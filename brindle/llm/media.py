@@ -32,6 +32,10 @@ PAD = 255
 #: Lines hold 24 samples or one of these multiples, so that blocks always fill them.
 LINES = (24, 48, 72, 96, 144, 192, 288, 576)
 IDAT_BYTES = 1 << 16
+#: Deflate cannot shrink anything further than by about this factor.
+DEFLATE_LIMIT = 1100
+#: Lines whose diagonals are reversed together.
+DIAGONAL_LINES = 256
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -111,35 +115,47 @@ def _unfilter(kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
         elif kind == 2:
             out[a:b] = np.cumsum(np.vstack([above, x[a:b]]), axis=0, dtype=np.uint8)[1:]
         elif kind in (3, 4):
-            for y in range(a, b):
-                out[y] = _serial_line(kind, x[y].tolist(), above.tolist())
-                above = out[y]
+            for y in range(a, b, DIAGONAL_LINES):
+                end = min(b, y + DIAGONAL_LINES)
+                out[y:end] = _diagonals(kind, x[y:end], above)
+                above = out[end - 1]
         else:
             raise ValueError(f"filter type {kind}")
         above = out[b - 1]
     return out
 
 
-def _serial_line(kind: int, line: list[int], above: list[int]) -> list[int]:
-    """Average and Paeth lines: each sample needs its left neighbour first."""
-    left = corner = 0
-    for i, up in enumerate(above):
-        if kind == 3:
-            guess = (left + up) >> 1
-        else:
-            p = left + up - corner
-            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-        left = line[i] = (line[i] + guess) & 255
-        corner = up
-    return line
+def _diagonals(kind: int, x: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Average and Paeth lines: a sample needs those to its left and above, so whole diagonals are reversed at once."""
+    height, width = x.shape
+    place = np.arange(height)
+    rest = np.zeros((height + width - 1, height), np.int16)  # row t has the samples whose line and column add up to t
+    for y in range(height):
+        rest[y : y + width, y] = x[y]
+    top = np.concatenate([[0], above.astype(np.int16), np.zeros(height, np.int16)])
+    before, last = np.zeros(height, np.int16), np.zeros(height, np.int16)
+    out = np.empty_like(rest)
+    for t in range(len(rest)):
+        up, corner = np.roll(last, 1), np.roll(before, 1)
+        up[0], corner[0] = top[t + 1], top[t]
+        now = (rest[t] + ((last + up) >> 1 if kind == 3 else _paeth(last, up, corner))) & 255
+        now[(place > t) | (place < t - width + 1)] = 0
+        out[t] = now
+        before, last = last, now
+    return np.stack([out[y : y + width, y] for y in range(height)]).astype(np.uint8)
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """The samples (lines by columns) of an 8-bit grey PNG; ValueError if any check fails."""
+    """The samples (lines by columns) of an 8-bit grey PNG; ValueError if any check fails.
+
+    Inflation stops at the size that the header gives, which may not be beyond what deflate can reach.
+    """
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, head, body, ended = 8, None, [], False
-    while at < len(data) and not ended:
+    at, head, body, seen, ended = 8, None, [], b"", False
+    while at < len(data):
+        if ended:
+            raise ValueError("data after IEND")
         if at + 12 > len(data):
             raise ValueError("truncated chunk")
         (n,) = struct.unpack_from(">I", data, at)
@@ -148,22 +164,34 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("truncated chunk")
         if zlib.crc32(data[at + 4 : end]) != struct.unpack_from(">I", data, end)[0]:
             raise ValueError(f"checksum of {kind!r}")
+        if (kind == b"IHDR") != (head is None):
+            raise ValueError("IHDR must be the first chunk and no other")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("length of IHDR")
             head = struct.unpack(">IIBBBBB", data[at + 8 : end])
         elif kind == b"IDAT":
+            if body and seen != b"IDAT":
+                raise ValueError("IDAT chunks apart")
             body.append(data[at + 8 : end])
-        ended = kind == b"IEND"
+        elif kind != b"IEND" and not kind[0] & 32:
+            raise ValueError(f"unknown critical chunk {kind!r}")
+        ended, seen = kind == b"IEND", kind
         at = end + 4
     if head is None or not ended:
         raise ValueError("missing IHDR or IEND")
-    width, height, depth, colour, _, _, interlaced = head
-    if (depth, colour, interlaced) != (8, 0, 0):
+    width, height, *kind_of = head
+    if kind_of != [8, 0, 0, 0, 0]:
         raise ValueError("only plain 8-bit grey images")
+    packed, size = b"".join(body), height * (width + 1)
+    if not width or not height or size > DEFLATE_LIMIT * len(packed):
+        raise ValueError("size of the image")
+    inflate = zlib.decompressobj()
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+        raw = np.frombuffer(inflate.decompress(packed, size + 1), np.uint8)
     except zlib.error as e:
         raise ValueError(f"zlib: {e}") from None
-    if len(raw) != height * (width + 1):
+    if len(raw) != size or not inflate.eof or inflate.unused_data:
         raise ValueError("wrong number of samples")
     lines = raw.reshape(height, width + 1)
     return _unfilter(lines[:, 0], lines[:, 1:])
