@@ -18,16 +18,16 @@ def _words(words) -> str:
 def license_sql() -> str:
     """All places of the phrases, and every template on every block."""
     phrases = [t for t in licenses.TEMPLATES if t.exact]
-    notices = [(t.label, list(dict.fromkeys(t.words))) for t in licenses.TEMPLATES if not t.exact]
+    notices = [(t.label, list(dict.fromkeys(t.words)), licenses.step_of(t)) for t in licenses.TEMPLATES if not t.exact]
     here = " OR ".join(f"({' AND '.join(f'w[i + {k}] = {_text(x)}' for k, x in enumerate(t.words))})" for t in phrases)
     each = " ".join(f"WHEN {' AND '.join(f'w[i + {k}] = {_text(x)}' for k, x in enumerate(t.words))} THEN {_text(t.label)}" for t in phrases)
-    rows = ", ".join(f"({_text(label)}, {_words(words)}, {licenses.THRESHOLD} * {len(words)} - 1e-9)" for label, words in notices)
-    step = licenses.STEP
+    rows = ", ".join(f"({_text(label)}, {_words(words)}, {licenses.THRESHOLD} * {len(words)} - 1e-9, {step})" for label, words, step in notices)
+    steps = ", ".join(f"({s})" for s in sorted({s for _, _, s in notices}))
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 p AS (SELECT doc_id, i - 1 AS place, CASE {each} END AS label FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: {here})) AS i FROM d)),
-b AS (SELECT doc_id, list_distinct(w[{step} * k + 1 : {step} * (k + 2)]) AS s FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {step - 1}) // {step})) AS k FROM d)),
-t(label, ws, need) AS (VALUES {rows}),
-m AS (SELECT doc_id, label, max(len(list_intersect(s, ws)) / len(ws)) AS c FROM b, t WHERE len(list_intersect(s, ws)) >= need GROUP BY ALL),
+b AS (SELECT doc_id, step, list_distinct(w[step * k + 1 : step * (k + 2)]) AS s FROM (SELECT doc_id, w, step, unnest(range(0, (len(w) + step - 1) // step)) AS k FROM d, (VALUES {steps}) z(step))),
+t(label, ws, need, step) AS (VALUES {rows}),
+m AS (SELECT doc_id, label, max(len(list_intersect(s, ws)) / len(ws)) AS c FROM b JOIN t USING (step) WHERE len(list_intersect(s, ws)) >= need GROUP BY ALL),
 pa AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, array_to_string(list_sort(list_distinct(list(label))), ',') AS ls FROM p GROUP BY doc_id),
 al AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS ls, max(c) AS c FROM (SELECT doc_id, label, c FROM m UNION ALL SELECT doc_id, label, 1.0 FROM p) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(pa.ls, '') AS base_labels, coalesce(al.ls, '') AS labels, coalesce(c, 0)::DOUBLE AS score FROM d LEFT JOIN pa USING (doc_id) LEFT JOIN al USING (doc_id)"""

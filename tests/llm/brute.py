@@ -94,8 +94,9 @@ def license_row(text, templates, step=64, threshold=0.8):
             places += at
             base |= {t.label} if at else set()
             continue
-        for b in range(0, len(w), step):
-            share = len(set(t.words) & set(w[b : b + 2 * step])) / len(set(t.words))
+        own = step * -(-n // step)
+        for b in range(0, len(w), own):
+            share = len(set(t.words) & set(w[b : b + 2 * own])) / len(set(t.words))
             if share >= threshold - 1e-12:
                 labels.add(t.label)
                 score = max(score, share)
