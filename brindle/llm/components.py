@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by contraction."""
+"""Connected components of an edge table, by contraction.
+
+Cases: an edge of a node to itself and repeated edges add nothing; a null end is not an edge; a node
+without any other stands in no edge and is not in the result; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,9 @@
 An Arrow string column is one contiguous UTF-8 buffer plus offsets, so words can be found and
 hashed for a whole slice of rows at once, without a Python loop over words.  Word and shingle ids
 are 64-bit values from a polynomial over the bytes, finished by an avalanche mix.
+
+Cases: null rows are empty ones; empty rows have no word; a row longer than a slice is a slice of its
+own; an empty column gives no slice.
 """
 
 from __future__ import annotations

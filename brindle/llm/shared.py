@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where sessions on one machine (tests) keep their tables if no folder is set.
 _LOCAL_ROOT = "/tmp/brindle-shared"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where set, else one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a session whose driver and executors are one process may leave it unset; on a cluster a
+    folder of the machine would be another one on every executor, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return (root or _LOCAL_ROOT).rstrip("/")
 
 

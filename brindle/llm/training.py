@@ -1,4 +1,9 @@
-"""Bounded training samples and one-task fits, shared by the classifiers."""
+"""Bounded training samples and one-task fits, shared by the classifiers.
+
+Cases: labels other than 0 and 1, null ids and held-out rows teach nothing; of labels that disagree
+about an id the smaller counts; a null text is an empty one; rows that repeat an id are all taken;
+without any labelled row the model is that of an empty sample; an empty table gives empty scores.
+"""
 
 from __future__ import annotations
 
