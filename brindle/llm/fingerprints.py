@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ WINDOW = 64
 #: Points, of the 64 that a window can earn, from which it is a feature.
 POINTS = 16
 BITS, PER_FILTER, HASHES = 2048, 160, 5
+#: Bytes of text in a bucket of neighbours, about.
+BUCKET_BYTES = 64 << 20
 #: Entropies are rounded to 1/LEVELS of the largest.
 LEVELS = 1000
 _SCALE = 1 << 16
@@ -235,45 +238,47 @@ def fingerprints(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text
 EDITS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _bounds_above(i, bounds: list[int]):
-    """How many of the descending ``bounds`` are above ``i``, found in two steps of about their root."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    chunks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    longs = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-    full = F.size(F.filter(F.expr(longs(c[-1] for c in chunks)), lambda x: x > i))
-    rest = F.try_element_at(F.expr("array(" + ",".join(map(longs, chunks)) + ")"), full + 1)
-    return full * step + F.coalesce(F.size(F.filter(rest, lambda x: x > i)), F.lit(0))
-
-
-def neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, extra, id, text): ranges of ids, each with the first rows of the range after it.
+def neighbours(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(b, extra, i, t): buckets of ids, one a partition, each with the first rows of the bucket after it.
 
     Documents stand by descending id (nulls last, equals by text), the first one follows the last.
-    Range bounds are quantiles of the ids, a few numbers; within a bucket the next row is the next
-    document, and the last row finds its next among the ``extra`` ones.
+    Bucket bounds are quantiles of the ids, as many as the bytes of the corpus need; within a bucket
+    the next row is the next document, and the last row finds its next among the ``extra`` ones.
+    Bounds and first ids, two numbers a bucket, go to the tasks as arrays.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).cast("long").alias("i"))
-    width = 2 * shuffle_width(spark)
-    bounds = ids.where(F.col("i").isNotNull()).approxQuantile("i", [k / width for k in range(1, width)], 0.1 / width)
-    bounds = sorted({int(x) for x in bounds or []}, reverse=True)
-    # bucket k holds ids from bounds[k] (included) to bounds[k - 1]; nulls come after all
-    i = F.col("i")
-    bucket = F.when(i.isNull(), F.lit(len(bounds) + 1)).otherwise(_bounds_above(i, bounds))
-    heads = {r["b"]: r["i"] for r in ids.groupBy(bucket.alias("b")).agg(F.max("i").alias("i")).collect()}  # one row a bucket
+    total = docs.agg(F.sum(F.octet_length(text_or_empty(text_col))).alias("n")).first()["n"] or 0
+    width = max(2 * shuffle_width(spark), -(-total // bucket_bytes))
+    bounds = ids.where(F.col("i").isNotNull()).approxQuantile("i", [k / width for k in range(1, width)], max(0.1 / width, 1e-5))
+    # bucket k holds ids from the k-th highest bound (included) to the one before; nulls come after all
+    bounds = np.array(sorted({int(x) for x in bounds or []}), np.int64)
+    last = len(bounds) + 1
+
+    known = (F.coalesce("i", F.lit(0)), F.col("i").isNull())  # a column with nulls would arrive as floats
+
+    def bucket_of(i: pd.Series, none: pd.Series) -> np.ndarray:
+        return np.where(none, last, len(bounds) - np.searchsorted(bounds, i.to_numpy(np.int64), "right")).astype(np.int32)
+
+    @F.pandas_udf("int")
+    def bucket(i: pd.Series, none: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(i, none))
+
+    heads = ids.groupBy(bucket(*known).alias("b")).agg(F.max("i").alias("i")).collect()  # one row a bucket
+    heads = {r["b"]: r["i"] for r in heads}
     order = sorted(heads)
     before = {b: order[k - 1] for k, b in enumerate(order)}  # the bucket that needs b's head: around the circle
-    to = F.lit(None).cast("int")
-    if order:
-        pairs = F.create_map(*(F.lit(x) for b in order for x in (b, before[b])))
-        head = F.create_map(*(x for b in order for x in (F.lit(b), F.lit(heads[b]).cast("long"))))
-        to = F.when(i.eqNullSafe(F.element_at(head, F.col("b"))), F.element_at(pairs, F.col("b")))
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t")).withColumn("b", bucket).withColumn("to", to)
-    copies = F.array_compact(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("extra")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("b"), F.lit(1).alias("extra")))))
+
+    @F.pandas_udf("struct<b:int,to:int>")
+    def place(i: pd.Series, none: pd.Series) -> pd.DataFrame:
+        b = bucket_of(i, none)
+        to = [before[k] if heads[k] == (None if n else x) else None for k, x, n in zip(b.tolist(), i.tolist(), none.tolist())]
+        return pd.DataFrame({"b": b, "to": pd.array(to, "Int32")})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t")).withColumn("at", place(*known))
+    copies = F.array_compact(F.array(F.struct(F.col("at.b").alias("b"), F.lit(0).alias("extra")), F.when(F.col("at.to").isNotNull(), F.struct(F.col("at.to").alias("b"), F.lit(1).alias("extra")))))
     each = rows.select("i", "t", F.explode(copies).alias("c")).select("c.b", "c.extra", "i", "t")
-    return each.repartition(width, "b").sortWithinPartitions("b", "extra", F.col("i").desc_nulls_last(), F.col("t").desc())
+    return each.repartitionById(last + 1, "b").sortWithinPartitions("extra", F.col("i").desc_nulls_last(), F.col("t").desc())
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: np.ndarray | None = None) -> DataFrame:
