@@ -10,8 +10,7 @@ text at a pattern and extracting the pattern's matches yields alternating gaps a
 running lengths are the starts and ends (in code points).
 
 Cases: a null text is an empty one; empty texts have no finding but are in the ledger; a hot blob is
-scanned once and its (small) findings meet its many paths in a join that adaptive execution can
-split; repeated rows and ties repeat their findings; an empty table gives empty results; columns
+scanned once and its (small) findings meet its many paths in a salted join; repeated rows and ties repeat their findings; an empty table gives empty results; columns
 other than the path, version and text columns are ignored.
 """
 
@@ -19,7 +18,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import text_or_empty
@@ -52,6 +51,8 @@ MORE_RULES = (
     Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1, r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Keys over which the paths of a blob are dealt, and code points of a text that are cut at once.
+SALTS, CHUNK = 32, 4096
 
 PAIRS = "blob binary, kind string, version int"
 FINDINGS = "blob binary, kind string, version int, start long, end long"
@@ -101,39 +102,73 @@ def paths_of(versions: DataFrame, path_cols: tuple[str, ...], text_col: str = "t
     return versions.select(*path_cols, blob_address(text_or_empty(text_col)).alias("blob"))
 
 
+def _current(rules: tuple[Rule, ...]):
+    """Whether a row of the ledger is of one of these rule versions."""
+    out = F.lit(False)
+    for r in rules:
+        out = out | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return out
+
+
 def unseen(versions: DataFrame, text_col: str = "text", pairs: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text, todo), once for each blob that some rule version has not scanned."""
+    """(blob, text, todo), once for each blob that some rule version has not scanned.
+
+    With a ledger, what is left to do is found on addresses alone; only then are texts fetched, and
+    if few blobs are new, adaptive execution sends their addresses out instead of moving texts.
+    """
     text = text_or_empty(text_col)
     contents = versions.select(blob_address(text).alias("blob"), text.alias("text"))
     todo = _all_kinds(rules)
     if pairs is None:
         return contents.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", todo)
-    current = F.lit(False)
-    for r in rules:
-        current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    done = pairs.where(current).groupBy("blob").agg(F.collect_set("kind").alias("done"))
-    left = contents.join(done, "blob", "left").withColumn("todo", F.when(F.col("done").isNull(), todo).otherwise(F.array_except(todo, "done")))
-    return left.where(F.size("todo") > 0).groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    done = pairs.where(_current(rules)).groupBy("blob").agg(F.collect_set("kind").alias("done"))
+    left = contents.select("blob").distinct().join(done, "blob", "left")
+    left = left.select("blob", F.when(F.col("done").isNull(), todo).otherwise(F.array_except(todo, "done")).alias("todo")).where(F.size("todo") > 0)
+    return contents.join(left, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
 
-def update(
-    versions: DataFrame,
-    text_col: str = "text",
-    ledger: tuple[DataFrame, DataFrame] | None = None,
-    rules: tuple[Rule, ...] = RULES,
-) -> tuple[DataFrame, DataFrame]:
-    """The ledger's (pairs, findings) after a run over ``versions``; ``ledger`` is the one before.
-
-    Both are lazy: a caller that keeps a ledger appends what is new to its two tables.
-    """
-    pairs, findings = ledger or (None, None)
+def update(versions: DataFrame, text_col: str = "text", pairs: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """What a run over ``versions`` adds to a ledger that has ``pairs``: new (pairs, findings), both lazy."""
     blobs = unseen(versions, text_col, pairs, rules)
     versions_of = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.version)))
     new_pairs = blobs.select("blob", F.explode("todo").alias("kind")).withColumn("version", versions_of[F.col("kind")])
-    new_findings = scan(blobs, rules)
-    if pairs is None:
-        return new_pairs, new_findings
-    return pairs.unionByName(new_pairs), findings.unionByName(new_findings)
+    return new_pairs, scan(blobs, rules)
+
+
+class Ledger:
+    """A ledger kept as two Parquet tables under ``path``; a run appends to both.
+
+    Findings are written before the pairs that say they are complete.  A run that dies in between
+    leaves findings that the next run writes again, so they are read without repeats.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.read.schema(schema).parquet(path)
+        return self.spark.createDataFrame([], schema)
+
+    @property
+    def pairs(self) -> DataFrame:
+        """(blob, kind, version): what has been scanned."""
+        return self._table("pairs", PAIRS)
+
+    @property
+    def findings(self) -> DataFrame:
+        """(blob, kind, version, start, end)."""
+        return self._table("findings", FINDINGS).distinct()
+
+    def run(self, versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan what the ledger has not seen of these versions, and add it."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pairs")
+        known = self.pairs if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder) else None
+        pairs, findings = update(versions, text_col, known, rules)
+        findings.write.mode("append").parquet(f"{self.path}/findings")
+        pairs.write.mode("append").parquet(f"{self.path}/pairs")
 
 
 def findings_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,43 +176,60 @@ def findings_by_blob(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> Da
     rank = F.lit(len(rules))
     for i, r in enumerate(rules):
         rank = F.when(F.col("kind") == r.kind, F.lit(i)).otherwise(rank)
-    current = F.lit(False)
-    for r in rules:
-        current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
     span = F.struct("start", rank.alias("rank"), "kind", "end")
-    return findings.where(current).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("found"))
+    return findings.where(_current(rules)).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("found"))
 
 
 def path_findings(versions: DataFrame, path_cols: tuple[str, ...], findings: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(path columns, blob, found): every version of every path with the spans of its blob (empty if none)."""
+    """(path columns, blob, found): every version of every path with the spans of its blob (empty if none).
+
+    The paths of one blob may be many, so they are dealt over SALTS keys; only blobs with findings
+    have rows on the other side, which are repeated for each.
+    """
     spans = findings_by_blob(findings, rules)
     none = F.array().cast(spans.schema["found"].dataType)
-    return paths_of(versions, path_cols, text_col).join(spans, "blob", "left").withColumn("found", F.coalesce("found", none))
+    each = spans.select(F.col("blob").alias("__of"), "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    own = versions.select(F.struct(*path_cols).alias("path"), blob_address(text_or_empty(text_col)).alias("blob"))
+    own = own.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = own.join(each, (F.col("blob") == F.col("__of")) & (F.col("salt") == F.col("__salt")), "left")
+    return joined.select(*(F.col("path")[c].alias(c) for c in path_cols), "blob", F.coalesce("found", none).alias("found"))
+
+
+def _between(chunks, a, b):
+    """The code points [a, b) of a text that is cut into ``chunks`` of CHUNK each."""
+    i, j = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+    at = (a - i * CHUNK + 1).cast("int")
+    same = F.substring(F.get(chunks, i), at, (b - a).cast("int"))
+    inner = F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    apart = F.concat(F.substring(F.get(chunks, i), at, F.lit(CHUNK)), inner, F.substring(F.get(chunks, j), F.lit(1), (b - j * CHUNK).cast("int")))
+    return F.when(b <= a, F.lit("")).when(i == j, same).otherwise(apart)
 
 
 def redacted(versions: DataFrame, text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``versions`` with every finding's code points in the text column replaced by ``mark``; nulls stay.
 
-    Texts are shuffled once, as blobs: those with findings are rewritten where they are, and each
-    path's other columns fetch the text of their blob.
+    Texts are shuffled once, as blobs: those with findings are rewritten where they are (from chunks,
+    so that the work grows with the text and not with its square), and each path's other columns,
+    carried as one, fetch the text of their blob.
     """
     blobs = unseen(versions, text_col, None, rules)
     spans = findings_by_blob(scan(blobs, rules), rules)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:long,b:long>>").alias("gaps"))
 
     def step(acc, x):
-        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        out = F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.lit(mark))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+        gap = F.array(F.struct(acc["at"].alias("a"), x["start"].alias("b")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["gaps"]).otherwise(F.concat(acc["gaps"], gap)).alias("gaps"))
 
     def finish(acc):
-        rest = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))
-        return F.concat(F.array_join(acc["out"], ""), rest)
+        return F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("a"), F.length("text").cast("long").alias("b"))))
 
-    cleaned = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", begin, step, finish))
-    clean = blobs.join(spans, "blob", "left").select(F.col("blob").alias("__of"), cleaned.alias("__clean"))
+    both = blobs.join(spans, "blob", "left").select("blob", "text", "found")
+    both = both.withColumn("gaps", F.when(F.col("found").isNotNull(), F.aggregate("found", begin, step, finish)))
+    both = both.withColumn("chunks", F.when(F.col("found").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    cleaned = F.array_join(F.transform("gaps", lambda g: _between(F.col("chunks"), g["a"], g["b"])), mark)
+    clean = both.select(F.col("blob").alias("of"), F.coalesce(cleaned, "text").alias("clean"))
     names = versions.columns
-    others = [F.col(c) for c in names if c != text_col]
-    keyed = versions.select(*others, F.col(text_col).isNull().alias("__null"), blob_address(text_or_empty(text_col)).alias("__blob"))
-    both = keyed.join(clean, F.col("__blob") == F.col("__of"))
-    return both.withColumn(text_col, F.when(~F.col("__null"), F.col("__clean"))).select(*names)
+    others = [F.col(c) for c in names if c != text_col] or [F.lit(0).alias("none")]
+    keyed = versions.select(F.struct(*others).alias("row"), F.col(text_col).isNull().alias("empty"), blob_address(text_or_empty(text_col)).alias("blob"))
+    found = keyed.join(clean, F.col("blob") == F.col("of"))
+    return found.select(*(F.when(~F.col("empty"), F.col("clean")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names))
