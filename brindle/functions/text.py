@@ -102,7 +102,7 @@ def passage(fields: list[tuple[Column, T.DataType]], limit: int = 700) -> Column
 def coarse_category(values: Column, default: Column) -> Column:
     """The last two parts of a category path, generic labels left out."""
     parts = F.transform(F.flatten(F.transform(values, lambda v: F.split(v, ","))), lambda p: F.trim(p))
-    generic = literals(("clothing", "clothing shoes & jewelry", "clothing, shoes & jewelry"))
+    generic = literals(vocab.GENERIC_CATEGORIES)
     kept = F.filter(parts, lambda p: (p != "") & ~F.array_contains(generic, F.lower(p)))
     last = F.slice(kept, F.greatest(F.size(kept) - 1, F.lit(1)), F.lit(2))
     return F.when(F.size(kept) > 0, F.array_join(last, " ")).otherwise(default)
@@ -119,10 +119,10 @@ def grams(tokens: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), " "))
 
 
-def query_grams(tokens: Column) -> Column:
+def query_grams(tokens: Column, sizes: tuple[int, ...] = vocab.GRAM_SIZES, budget: int = vocab.MAX_GRAMS) -> Column:
     """Grams of all sizes, longest first, repeats and all-stopword grams left out, cut to the budget of look-ups."""
     stop = literals(vocab.STOPWORDS)
     at = lambda n: F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-    every = [F.transform(at(n), lambda i: F.slice(tokens, i + 1, F.lit(n))) for n in vocab.GRAM_SIZES]
+    every = [F.transform(at(n), lambda i: F.slice(tokens, i + 1, F.lit(n))) for n in sizes]
     useful = F.filter(F.concat(*every), lambda g: F.exists(g, lambda t: ~F.array_contains(stop, t)))
-    return F.slice(F.array_distinct(F.transform(useful, lambda g: F.array_join(g, " "))), F.lit(1), F.lit(vocab.MAX_GRAMS))
+    return F.slice(F.array_distinct(F.transform(useful, lambda g: F.array_join(g, " "))), F.lit(1), F.lit(budget))

@@ -5,6 +5,7 @@ FUNCTION_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "i", "in", "is", "it", "me", "my", "of", "on", "or",
     "please", "some", "that", "the", "this", "to", "want", "with", "would", "you", "looking",
 )
+# Request words.
 REQUEST_WORDS = (
     "actually", "anything", "buy", "buying", "find", "forget", "get", "give", "hello", "hey", "hi", "instead", "need", "needs",
     "nevermind", "purchase", "recommend", "scratch", "show", "shopping", "something", "suggest", "thanks", "thank", "mind",
@@ -19,11 +20,12 @@ SPELLINGS = {
     "coloured": "colored", "favourite": "favorite", "favourites": "favorites",
 }
 
-# Materials and colors of catalog extraction, in order of preference.
+# Materials of catalog extraction, in order of preference.
 CATALOG_MATERIALS = (
     "cotton", "polyester", "nylon", "leather", "wool", "spandex", "silk", "rayon", "denim", "suede", "canvas", "linen",
     "cashmere", "fleece", "mesh", "velvet", "lace", "rubber", "sterling silver", "stainless steel", "metal",
 )
+# Colors of catalog extraction and messages.
 COLORS = (
     "black", "white", "blue", "red", "pink", "green", "brown", "gray", "grey", "purple", "yellow", "orange", "navy", "beige",
     "tan", "gold", "silver", "multicolor",
@@ -61,3 +63,22 @@ RRF_K = 60
 PRF_DOCS, PRF_TERMS, PRF_LEAST_DF, PRF_LEAST_LENGTH = 10, 8, 3, 3
 CATEGORY_LEAST_DF, ROOT_SAMPLE, ROOT_SHARE = 20, 1000, 0.95
 MAX_TURNS, TOP_K = 10, 10
+# Labels that say whom a product is for, and generic labels of category paths.
+DEMOGRAPHIC_WORDS = ("women", "men", "girls", "boys", "baby", "kids", "unisex", "adult", "novelty")
+GENERIC_CATEGORIES = ("clothing", "clothing shoes & jewelry", "clothing, shoes & jewelry")
+# What may be asked, the questions, and what is said without one.
+ASKABLE = ("category", "material", "color", "size", "style", "brand", "budget", "feature", "use_case", "other")
+QUESTIONS = {
+    "material": "What material are you looking for?",
+    "color": "Do you have a color preference?",
+    "style": "Any particular style or fit you'd like?",
+    "size": "What size do you need?",
+    "use_case": "What will you be using this for?",
+    "budget": "Do you have a budget in mind?",
+    "feature": "Is there a specific feature that matters most to you?",
+}
+NO_QUESTION = "Here are the closest matches I found so far."
+# An attribute counts as exhausted below this, and prototypes and similarity of a non-answer.
+EXHAUSTED, TOP_PROTOTYPES, NON_ANSWER_SIMILARITY = 0.0005, 4, 0.68
+# Attributes whose entropy can be measured, in order.
+STRUCTURAL = ("material", "color")

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 
+#: Slices of a group's range of values that are ordered on their own.
+SLICES = 64
+
 
 def session_report(sessions: DataFrame) -> DataFrame:
     """Overall and per scenario: count, hit rate, mean reciprocal rank, mean turns to a hit, efficiency and composite.
 
-    ``sessions`` has (scenario, hit_turn, hit_rank), null where there was no hit; the overall row has a null scenario.
+    ``sessions`` has (scenario, hit_turn, hit_rank), null where there was no hit; the overall row has
+    a null scenario.  Without any session there is still the overall row: zeros, and no mean of turns.
     """
     turns = F.coalesce(F.col("hit_turn"), F.lit(vocab.MAX_TURNS + 1))
     rates = sessions.groupingSets([[], ["scenario"]], "scenario").agg(
@@ -20,11 +24,15 @@ def session_report(sessions: DataFrame) -> DataFrame:
         F.round(F.avg(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(turns), 6).alias("mttc"),
     )
-    return scored_report(rates)
+    name = sessions.schema["scenario"].dataType
+    nothing = F.struct(F.lit(None).cast(name).alias("scenario"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("hit_rate"), F.lit(0.0).alias("mrr"), F.lit(None).cast("double").alias("mttc"))
+    none = sessions.agg(F.count(F.lit(1)).alias("all")).where("all = 0").select(nothing.alias("r")).select("r.*")
+    return scored_report(rates.unionByName(none))
 
 
 def scored_report(rates: DataFrame) -> DataFrame:
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (vocab.MAX_TURNS + 1 - F.col("mttc")) / 10))
+    turns = F.coalesce("mttc", F.lit(float(vocab.MAX_TURNS + 1)))
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (vocab.MAX_TURNS + 1 - turns) / 10))
     out = rates.withColumn("efficiency", F.round(clipped, 6))
     return out.withColumn("score", F.round(0.5 * F.col("hit_rate") + 0.3 * F.col("mrr") + 0.2 * F.col("efficiency"), 6))
 
@@ -37,27 +45,62 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column, *keys: str) ->
     return counts.select("*", rate("tp", "fn").alias("recall"), rate("fp", "tn").alias("fpr"), rate("tp", "fp").alias("precision"))
 
 
+def running_counts(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, value, c, upto, n): every value of a group with how often it occurs, how many rows are up to it, and in all.
+
+    Equal values are counted before anything is ordered, and groups of many values are ordered in
+    SLICES slices of their value ranges, so no group is sorted in one task.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    ends = c.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("c").alias("n"))
+    placed = _beside(c, ends, keys)
+    share = F.try_divide((F.col(value) - F.col("__lo")).cast("double"), (F.col("__hi") - F.col("__lo")).cast("double"))
+    placed = placed.withColumn("__slice", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * SLICES), F.lit(SLICES - 1)).cast("int")).drop("__lo", "__hi")
+    sums = placed.groupBy(*keys, "__slice").agg(F.sum("c").alias("__c"))
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0))).drop("__c")
+    both = _beside(placed, sums, (*keys, "__slice"))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("upto", F.col("__before") + F.sum("c").over(inside)).select(*keys, value, "c", "upto", "n")
+
+
+def _beside(rows: DataFrame, more: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the other columns of their (possibly null) keys."""
+    on = F.lit(True)
+    for k in keys:
+        more = more.withColumnRenamed(k, f"__of_{k}")
+        on = on & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return rows.join(more, on).drop(*(f"__of_{k}" for k in keys))
+
+
+def value_at(value: str, place: Column) -> Column:
+    """Aggregate over ``running_counts``: the value at a place (from 0) of the sorted rows."""
+    return F.min(F.when(F.col("upto") > place, F.col(value)))
+
+
 def quartile_cuts(rows: DataFrame, value: str) -> DataFrame:
-    """One row: the values at places n // 4, n // 2 and 3 * n // 4 of the sorted column, from its counts by value."""
-    n = rows.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = n.withColumn("upto", F.sum("c").over(w)).crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))
-    at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 4), F.col(value)))
-    return upto.agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    """One row: the values at places n // 4, n // 2 and 3 * n // 4 of the sorted column."""
+    at = lambda k: value_at(value, F.floor(F.col("n") * k / 4))
+    return running_counts(rows, value).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
 
 
 def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Mean, p50 and p95 by place in the sorted values (no interpolation; the maximum below 20 values), maximum."""
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    placed = rows.withColumn("i", order).withColumn("n", n)
-    p95 = F.when(F.col("n") >= 20, F.floor(F.col("n") * 0.95)).otherwise(F.col("n"))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col(value)))
-    return placed.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.round(F.avg(value), 1).alias("mean"), F.round(at(F.floor(F.col("n") / 2) + 1), 1).alias("p50"), F.round(at(p95), 1).alias("p95"), F.round(F.max(value), 1).alias("max")
+    """Mean, median, p95 by place in the sorted values (no interpolation; the maximum below 20 values), maximum."""
+    n = F.col("n")
+    p95 = F.when(n >= 20, F.floor(n * 0.95) - 1).otherwise(n - 1)
+    median = (value_at(value, F.floor((n - 1) / 2)) + value_at(value, F.floor(n / 2))) / 2
+    total = F.sum(F.col(value) * F.col("c")) / F.max("n")
+    counts = running_counts(rows, value, *keys)
+    return counts.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.round(total, 1).alias("mean"), F.round(median, 1).alias("p50"), F.round(value_at(value, p95), 1).alias("p95"), F.round(F.max(value), 1).alias("max")
     )
 
 
+def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, n, upper_median): the value at place n // 2 of the sorted ones."""
+    return running_counts(rows, value, *keys).groupBy(*keys).agg(F.max("n").alias("n"), value_at(value, F.floor(F.col("n") / 2)).alias("upper_median"))
+
+
 def band(x: Column, edges: tuple[float, ...]) -> Column:
     """The index of the half-open band that holds ``x``."""
     out = F.lit(None).cast("int")

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vocab
 
+#: Query vectors that are sent to all tasks at once.
+BLOCK_QUERIES = 4096
+
 
 def top_n(scored: DataFrame, n: int, *order: Column, key: str = "query_id") -> DataFrame:
     """The first ``n`` rows of every key with their rank; the limit is applied before the shuffle too."""
@@ -23,67 +26,16 @@ def top_n(scored: DataFrame, n: int, *order: Column, key: str = "query_id") -> D
     return scored.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def token_rows(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(doc_id, field, tokens) for text columns ``fields`` (name: column)."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), tx.index_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for f, c in fields.items()))
-    return docs.select("doc_id", F.inline(parts))
-
-
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term): the first distinct terms of each query."""
     cut = F.slice(F.array_distinct(tx.terms(F.coalesce(F.col(text), F.lit("")))), 1, vocab.MAX_QUERY_TERMS)
     return queries.select("query_id", F.explode(cut).alias("term"))
 
 
-def term_weights(docs: DataFrame, terms: DataFrame, fields: dict[str, str], weights: dict[str, float]) -> DataFrame:
-    """(doc_id, term, f, d): weighted frequency of the wanted terms in every document, and its length."""
-    rows = docs.select("doc_id", *(tx.index_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()))
-    length = sum((F.size(f) for f in fields), F.lit(0)).cast("double")
-    tagged = F.concat(*(_tagged(F.col(f), float(weights[f])) for f in fields))
-    each = rows.select("doc_id", length.alias("d"), F.explode(tagged).alias("t")).select("doc_id", "d", "t.term", "t.w")
-    wanted = terms.select("term").distinct()
-    return each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.sum("w").alias("f"), F.first("d").alias("d"))
-
-
-def _tagged(tokens: Column, weight: float) -> Column:
-    return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-
-
-def corpus_size(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """One row: number of documents and mean length."""
-    length = sum((F.size(tx.index_tokens(F.coalesce(F.col(c), F.lit("")))) for c in fields.values()), F.lit(0))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(length).alias("mean_d"))
-
-
-def bm25(docs: DataFrame, terms: DataFrame, n: int, fields: dict[str, str], weights: dict[str, float]) -> DataFrame:
-    """Documents with any of a query's terms, best first; a match in a field of weight 0 counts with score 0."""
-    found = term_weights(docs, terms, fields, weights)
-    size = corpus_size(docs, fields)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    k1, b = vocab.BM25_K1, vocab.BM25_B
-    norm = F.col("f") + k1 * (1 - b + b * F.col("d") / F.col("mean_d"))
-    gain = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (k1 + 1) / norm
-    stats = df.crossJoin(F.broadcast(size))  # one row on the right
-    scored = found.join(stats, "term").select("doc_id", "term", gain.alias("gain"))
-    total = terms.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 6).alias("score"))
-    return top_n(total, n, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
-
-
-def phrases(docs: DataFrame, queries: DataFrame, n: int, fields: dict[str, str]) -> DataFrame:
-    """Documents that hold runs of a query's tokens within one field: the squared lengths of the runs, summed.
-
-    Runs in too many documents are dropped; ties go to the run listed first, then to the smaller id.
-    """
-    grams = queries.select("query_id", F.posexplode(tx.query_grams(tx.phrase_tokens(F.coalesce(F.col("text"), F.lit(""))))).alias("k", "gram"))
-    wanted = grams.select("gram").distinct()
-    rows = token_rows(docs, fields)
-    every = F.concat(*(F.array_distinct(tx.grams(F.col("tokens"), size)) for size in vocab.GRAM_SIZES))
-    have = rows.select("doc_id", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi").distinct()
-    rare = have.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= vocab.MAX_GRAM_DOCS)
-    size = F.size(F.split("gram", " "))
-    hits = grams.join(have.join(rare, "gram"), "gram").groupBy("query_id", "doc_id").agg(F.sum(size * size).cast("double").alias("score"), F.min("k").alias("k"))
-    return top_n(hits, n, F.desc("score"), F.col("k"), F.col("doc_id")).select("query_id", "doc_id", "rank", "score")
+def query_grams(queries: DataFrame, text: str = "text", sizes: tuple[int, ...] = vocab.GRAM_SIZES, budget: int = vocab.MAX_GRAMS) -> DataFrame:
+    """(query_id, k, gram): the runs of each query's tokens that are looked up, in order."""
+    tokens = tx.phrase_tokens(F.coalesce(F.col(text), F.lit("")))
+    return queries.select("query_id", F.posexplode(tx.query_grams(tokens, sizes, budget)).alias("k", "gram"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -95,30 +47,39 @@ def norm(a: Column) -> Column:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Nearest vectors by dot product: queries (query_id, q) against all (doc_id, v), in one pass.
+    """Nearest vectors by dot product: queries (query_id, q) against all (doc_id, v), in blocks.
+
+    Queries are counted and dealt into blocks of about BLOCK_QUERIES, the only thing that is sent to
+    the tasks; each block is one pass over the vectors, and the limit for each query is applied
+    before anything shuffles.
+    """
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    out = None
+    for k in range(blocks):
+        block = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))
+        scored = vectors.join(block, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+        part = top_n(scored, n, F.desc("score"), F.col("doc_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    The query side is a stated set that is sent whole to every task of the scan; the limit for each
-    query is applied before anything shuffles.
+
+def repelled(pool: DataFrame, shown: DataFrame) -> DataFrame:
+    """``pool`` (query_id, doc_id, rank, vector) with ``repel``: the largest similarity to what the query was shown, -1e9 if nothing.
+
+    ``shown`` has (query_id, vector); both are bounded by the slates of a query.
     """
-    scored = vectors.join(queries, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top_n(scored, n, F.desc("score"), F.col("doc_id"))
-
-
-def feedback_terms(docs: DataFrame, seed: DataFrame, terms: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(query_id, term, fdf, score, rank): the terms that expand each query, from its first results."""
-    first = seed.where(F.col("rank") <= vocab.PRF_DOCS).select("query_id", "doc_id")
-    words = token_rows(docs, fields).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).distinct()
-    stop = tx.literals(vocab.STOPWORDS)
-    usable = (F.length("term") >= vocab.PRF_LEAST_LENGTH) & F.col("term").rlike("^[a-z0-9]+$") & ~F.col("term").rlike("^[0-9]+$") & ~F.array_contains(stop, F.col("term"))
-    words = words.where(usable)
-    near = first.join(words, "doc_id").join(terms, ["query_id", "term"], "left_anti")
-    near = near.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("fdf")).where(F.col("fdf") >= vocab.PRF_LEAST_DF)
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    count = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = F.log(F.col("n_docs") / F.col("df"))
-    scored = near.join(df, "term").crossJoin(F.broadcast(count)).where(idf > 0)
-    scored = scored.select("query_id", "term", "fdf", F.round(F.col("fdf") * idf, 6).alias("score"))
-    return top_n(scored, vocab.PRF_TERMS, F.desc("score"), F.col("term"))
+    was = shown.select(F.col("query_id").alias("__q"), F.col("vector").alias("__v"))
+    pairs = pool.join(was, F.col("query_id") == F.col("__q"), "left")
+    alike = F.round(F.max(dot(F.col("vector"), F.col("__v"))), 6)
+    return pairs.groupBy("query_id", "doc_id", "rank").agg(F.first("vector").alias("vector"), F.coalesce(alike, F.lit(-1e9)).alias("repel"))
+
+
+def ranked_subset(candidates: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates (query_id, pos, doc_id) by similarity to their query (query_id, q); those without a vector (doc_id, v) follow in order."""
+    known = candidates.join(vectors, "doc_id", "left").join(queries, "query_id", "left")
+    score = F.round(dot(F.col("v"), F.col("q")), 6)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "pos"))
+    return known.withColumn("score", score).select("query_id", "doc_id", "pos", rank.alias("rank"))
 
 
 def expanded(terms: DataFrame, more: DataFrame) -> DataFrame:
@@ -175,9 +136,17 @@ def reranked(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Seri
     """The first ``depth`` rows fused with their order by ``scorer`` (query text, document text); the tail follows.
 
     ``ranked`` has query_id, doc_id, rank, query and document.  Scoring is an Arrow-batched function
-    of pairs, so any model can be injected; a null score (a failed model) leaves the order unchanged.
+    of pairs, so any model can be injected; a null score or an exception (a failed model) leaves the
+    order of its query unchanged.
     """
-    score = F.pandas_udf(scorer, "double")
+
+    def safe(query: pd.Series, document: pd.Series) -> pd.Series:
+        try:
+            return scorer(query, document)
+        except Exception:
+            return pd.Series([None] * len(query), dtype=float)
+
+    score = F.pandas_udf(safe, "double")
     head = ranked.where(F.col("rank") <= depth).withColumn("model", score("query", "document"))
     again = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("model"), "rank"))
     failed = F.max(F.col("model").isNull()).over(Window.partitionBy("query_id"))
@@ -190,8 +159,9 @@ def reranked(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Seri
 
 
 def diversified(pool: DataFrame, k: int, trade: float, window: int = 40, pinned: int = 3, within: bool = True) -> DataFrame:
-    """Greedy maximal marginal relevance on (query_id, doc_id, rank, vector, repel); bounded rows a query.
+    """Greedy maximal marginal relevance on (query_id, doc_id, rank, vector, repel).
 
+    Only the first ``window`` rows of a query are gathered; the rest follow in their order, untouched.
     Relevance is 1 / rank.  The first ``pinned`` stay; then whatever has the best trade of relevance
     against likeness to what is chosen (if ``within``) and to what was shown (``repel``), up to ``k``.
     """
@@ -200,8 +170,8 @@ def diversified(pool: DataFrame, k: int, trade: float, window: int = 40, pinned:
         import numpy as np
 
         rows = rows.sort_values("rank", kind="stable").reset_index(drop=True)
-        if len(rows) > k:
-            size = min(window, len(rows))
+        if rows["pool"].iloc[0] > k:
+            size = len(rows)
             v = np.stack(rows["vector"].to_numpy()[:size]).astype(float)
             alike = np.round(v @ v.T, 6)
             repel = rows["repel"].to_numpy(float)[:size]
@@ -216,8 +186,10 @@ def diversified(pool: DataFrame, k: int, trade: float, window: int = 40, pinned:
         rows["rank"] = range(1, len(rows) + 1)
         return rows[["query_id", "doc_id", "rank"]]
 
-    bounded = top_n(pool.withColumnRenamed("rank", "before"), 10 * window, F.col("before")).drop("before")
-    return bounded.groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, rank int")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    placed = pool.withColumn("place", place).withColumn("pool", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    head = placed.where(F.col("place") <= window).groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, rank int")
+    return head.unionByName(placed.where(F.col("place") > window).select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"), F.col("place").alias("rank")))
 
 
 def slate(pool: DataFrame, shown: DataFrame, k: int = vocab.TOP_K) -> DataFrame:

@@ -275,7 +275,7 @@ def quartile_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_type, max(n) AS n, round(avg(value), 1) AS mean, round(max(CASE WHEN i = n // 2 + 1 THEN value END), 1) AS p50, round(max(CASE WHEN i = CASE WHEN n >= 20 THEN floor(n * 0.95) ELSE n END THEN value END), 1) AS p95, round(max(value), 1) AS max FROM o GROUP BY event_type""")
+SELECT event_type, max(n) AS n, round(avg(value), 1) AS mean, round(median(value), 1) AS p50, round(max(CASE WHEN i = CASE WHEN n >= 20 THEN floor(n * 0.95) ELSE n END THEN value END), 1) AS p95, round(max(value), 1) AS max FROM o GROUP BY event_type""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.latency(table(spark, sf_dir, "events"), "value", "event_type")
 
@@ -326,14 +326,18 @@ def profile_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(best, "o_custkey", "left")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS run FROM orders), f AS (SELECT o_custkey, min(run) AS at_run FROM o WHERE run >= 2 GROUP BY ALL), n AS (SELECT at_run AS run, count(*) AS c FROM f GROUP BY ALL), r AS (SELECT DISTINCT run FROM o)
-SELECT run, sum(coalesce(c, 0)) OVER (ORDER BY run)::BIGINT AS carried FROM r LEFT JOIN n USING (run)""")
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS run FROM orders),
+h AS (SELECT a.o_custkey, a.run, max(n) AS n FROM o a LEFT JOIN (SELECT x.o_custkey, x.run, y.value, count(*) AS n FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND y.run < x.run GROUP BY ALL) b ON a.o_custkey = b.o_custkey AND a.run = b.run GROUP BY ALL)
+SELECT run, count(*) AS sessions, count(CASE WHEN n >= 2 THEN 1 END) AS carried FROM h GROUP BY run""")
 def store_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many profiles carry a hint by each repeat run."""
-    run = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = table(spark, sf_dir, "orders").select("o_custkey", run.cast("long").alias("run"))
-    first = o.where("run >= 2").groupBy("o_custkey").agg(F.min("run").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c"))
-    return o.select("run").distinct().join(first, "run", "left").select("run", F.sum(F.coalesce("c", F.lit(0))).over(Window.orderBy("run")).alias("carried"))
+    """Of the first, second, ... sessions of all profiles: how many start with a value that earlier ones corroborate."""
+    order = ("o_orderdate", "o_orderkey")
+    run = F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order))
+    again = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy(*order))
+    o = table(spark, sf_dir, "orders").select("o_custkey", run.cast("long").alias("run"), again.alias("again"))
+    since = F.min(F.when(F.col("again") == 2, F.col("run"))).over(Window.partitionBy("o_custkey"))
+    o = o.withColumn("since", since)
+    return o.groupBy("run").agg(F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("run") > F.col("since"), 1)).alias("carried"))
 
 
 @query("""WITH p AS (SELECT p_brand AS query_id, p_partkey AS doc_id, p_size, p_retailprice, (SELECT avg(nullif(p_size, 0)) FROM part) AS mean FROM part)

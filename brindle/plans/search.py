@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocab
+from ..operators import index as ix
+from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from .registry import _sql, query, relation, table, values
 
@@ -16,10 +18,15 @@ WEIGHTS = {"title": 6.0, "body": 1.0}
 DEPTH = 50
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The session's index of the documents, built by the first query that needs it."""
+    return ix.kept(table(spark, sf_dir, "documents"), titled, FIELDS, "documents")
+
+
+def titled(docs: DataFrame) -> DataFrame:
     """Documents as (doc_id, title, body): the first line and the rest."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(text, r"^([^\n]*)", 1).alias("title"), F.regexp_replace(text, r"^[^\n]*\n?", "").alias("body"))
+    return docs.select("doc_id", F.regexp_extract(text, r"^([^\n]*)", 1).alias("title"), F.regexp_replace(text, r"^[^\n]*\n?", "").alias("body"))
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +55,7 @@ def _bm25_sql(terms: str, n: int, name: str) -> str:
 
 
 def bm25_leg(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return rt.bm25(corpus(spark, sf_dir), rt.query_terms(searches(spark, sf_dir)), n, FIELDS, WEIGHTS)
+    return ix.bm25(corpus_index(spark, sf_dir), rt.query_terms(searches(spark, sf_dir)), n, WEIGHTS)
 
 
 @query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 10, 'bm')} SELECT * FROM bm")
@@ -71,7 +78,7 @@ ph AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def phrase_leg(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return rt.phrases(corpus(spark, sf_dir), searches(spark, sf_dir), n, FIELDS)
+    return ix.phrases(corpus_index(spark, sf_dir), rt.query_grams(searches(spark, sf_dir)), n)
 
 
 @query(f"WITH {CORPUS_SQL}, {_GRAM_SQL.replace('{n}', '10')} SELECT * FROM ph")
@@ -81,11 +88,16 @@ def phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, d.vec_id)::INT AS rank
-FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20 QUALIFY rank <= 10""")
+FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set is every vector whose id is divisible by 100, against all vectors."""
+    return _nearest(spark, sf_dir, 10)
+
+
+def _nearest(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return rt.dense(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), queries, 10)
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return rt.dense(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), queries, n)
 
 
 _PRF_SQL = f"""
@@ -98,13 +110,12 @@ more AS (SELECT query_id, term FROM qterm UNION SELECT query_id, term FROM prf)"
 
 @query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 50, 'bm')}, {_PRF_SQL} SELECT * FROM prf")
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.feedback_terms(corpus(spark, sf_dir), bm25_leg(spark, sf_dir, DEPTH), rt.query_terms(searches(spark, sf_dir)), FIELDS)
+    return ix.feedback_terms(corpus_index(spark, sf_dir), bm25_leg(spark, sf_dir, DEPTH), rt.query_terms(searches(spark, sf_dir)))
 
 
 @query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 50, 'bm')}, {_PRF_SQL}, {_bm25_sql('more', 10, 'pr')} SELECT * FROM pr")
 def prf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = rt.expanded(rt.query_terms(searches(spark, sf_dir)), prf_terms(spark, sf_dir))
-    return rt.bm25(corpus(spark, sf_dir), terms, 10, FIELDS, WEIGHTS)
+    return _prf_leg(spark, sf_dir, 10)
 
 
 _LEGS_SQL = """
@@ -151,7 +162,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prf_leg(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     terms = rt.expanded(rt.query_terms(searches(spark, sf_dir)), prf_terms(spark, sf_dir))
-    return rt.bm25(corpus(spark, sf_dir), terms, n, FIELDS, WEIGHTS)
+    return ix.bm25(corpus_index(spark, sf_dir), terms, n, WEIGHTS)
+
+
+def sought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id): the documents that contain a passage, which its search should find."""
+    return ix.containing(corpus_index(spark, sf_dir), table(spark, sf_dir, "documents"), searches(spark, sf_dir).withColumnRenamed("text", "passage"))
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +193,7 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = two_legs(spark, sf_dir)
     grid = relation(spark, _GRID, "setting int, leg int, weight double")
     results = rt.fused(legs, grid, 10, ("setting", "query_id"))
-    passages, docs = searches(spark, sf_dir), table(spark, sf_dir, "documents")
-    truth = docs.join(passages.withColumnRenamed("text", "passage"), F.contains(F.col("text"), F.col("passage"))).select("query_id", "doc_id")
+    truth = sought(spark, sf_dir)
     best = results.join(truth, ["query_id", "doc_id"]).groupBy("setting", "query_id").agg(F.min("rank").alias("r"))
     asked = grid.select("setting").distinct().crossJoin(truth.select("query_id").distinct())  # settings are a fixed list
     joined = asked.join(best, ["setting", "query_id"], "left")
@@ -187,31 +202,53 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("setting", "hit_rate", "mrr", F.round(F.col("mrr") - first, 6).alias("delta"))
 
 
-@query(
-    f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 50, 'bm')}, {_GRAM_SQL.replace('{n}', '50')}, {_LEGS_SQL}, weighed AS (SELECT *, 2.0 AS w FROM legs),"
-    + _FUSE_SQL.format(keys="", legs="weighed", n=100000)
+_PROBE_SQL = (
+    f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 2000, 'bm')}, {_GRAM_SQL.replace('{n}', '2000')},"
+    " legs AS (SELECT query_id, doc_id, 0 AS leg, rank FROM bm UNION ALL SELECT query_id, doc_id, 1, rank FROM ph), weighed AS (SELECT *, 2.0 AS w FROM legs WHERE rank <= 50),"
+    + _FUSE_SQL.format(keys="", legs="weighed", n=30)
     + """, truth AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
-  t AS (SELECT query_id, min(f.rank) AS fr, min(b.rank) AS br, min(p.rank) AS pr FROM truth LEFT JOIN fused f USING (query_id, doc_id) LEFT JOIN bm b USING (query_id, doc_id) LEFT JOIN ph p USING (query_id, doc_id) GROUP BY query_id),
-  k AS (SELECT *, CASE WHEN fr <= 10 THEN 'shown' WHEN br IS NULL AND pr IS NULL THEN 'unreachable' WHEN fr IS NULL THEN 'not in pool' ELSE 'below slate' END AS reason, least(br, pr) AS nearest FROM t)
-  SELECT reason, CASE WHEN nearest <= 5 THEN '<=5' WHEN nearest <= 20 THEN '6-20' WHEN nearest <= 50 THEN '21-50' ELSE 'none' END AS reach, count(*) AS n FROM k GROUP BY ALL"""
+  t AS (SELECT query_id, min(f.rank) AS fr, min(b.rank) AS br, min(p.rank) AS pr FROM truth LEFT JOIN fused f USING (query_id, doc_id) LEFT JOIN bm b USING (query_id, doc_id) LEFT JOIN ph p USING (query_id, doc_id) GROUP BY query_id)"""
+)
+PROBE_DEPTH = 2000
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, fr, br, pr): the best rank of a sought document in the pool of 30 and, to a depth of 2000, in each leg."""
+    bm, ph = bm25_leg(spark, sf_dir, PROBE_DEPTH), phrase_leg(spark, sf_dir, PROBE_DEPTH)
+    legs = rt.union_of_legs([bm, ph]).where(F.col("rank") <= DEPTH)
+    pool, on = rt.fused(legs, [2.0, 2.0], 30), ["query_id", "doc_id"]
+    ranks = sought(spark, sf_dir)
+    for leg, name in ((pool, "fr"), (bm, "br"), (ph, "pr")):
+        ranks = ranks.join(leg.select(*on, F.col("rank").alias(name)), on, "left")
+    return ranks.groupBy("query_id").agg(*(F.min(c).alias(c) for c in ("fr", "br", "pr")))
+
+
+@query(
+    _PROBE_SQL
+    + """, k AS (SELECT *, CASE WHEN fr <= 10 THEN 'shown' WHEN br IS NULL AND pr IS NULL THEN 'unreachable' WHEN fr IS NULL THEN 'not in pool' ELSE 'below slate' END AS reason, least(br, pr) AS nearest FROM t)
+  SELECT reason, CASE WHEN nearest <= 50 THEN '<=50' WHEN nearest <= 500 THEN '51-500' WHEN nearest <= 2000 THEN '501-2000' ELSE 'none' END AS reach, count(*) AS n FROM k GROUP BY ALL"""
 )
 def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a sought document is missing from the slate, and how near the best leg ranks it."""
-    bm, ph = bm25_leg(spark, sf_dir, DEPTH), phrase_leg(spark, sf_dir, DEPTH)
-    pool = rt.fused(rt.union_of_legs([bm, ph]), [2.0, 2.0])
-    docs, passages = table(spark, sf_dir, "documents"), searches(spark, sf_dir)
-    truth = docs.join(passages.withColumnRenamed("text", "passage"), F.contains(F.col("text"), F.col("passage"))).select("query_id", "doc_id")
-    on = ["query_id", "doc_id"]
-    ranks = truth.join(pool.select(*on, F.col("rank").alias("fr")), on, "left").join(bm.select(*on, F.col("rank").alias("br")), on, "left").join(ph.select(*on, F.col("rank").alias("pr")), on, "left")
-    t = ranks.groupBy("query_id").agg(*(F.min(c).alias(c) for c in ("fr", "br", "pr")))
     reason = F.when(F.col("fr") <= 10, "shown").when(F.col("br").isNull() & F.col("pr").isNull(), "unreachable").when(F.col("fr").isNull(), "not in pool").otherwise("below slate")
     nearest = F.least("br", "pr")
-    reach = F.when(nearest <= 5, "<=5").when(nearest <= 20, "6-20").when(nearest <= 50, "21-50").otherwise("none")
-    return t.groupBy(reason.alias("reason"), reach.alias("reach")).agg(F.count(F.lit(1)).alias("n"))
+    reach = F.when(nearest <= 50, "<=50").when(nearest <= 500, "51-500").when(nearest <= 2000, "501-2000").otherwise("none")
+    return probes(spark, sf_dir).groupBy(reason.alias("reason"), reach.alias("reach")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _PROBE_SQL
+    + """, u AS (SELECT 'bm25' AS leg, br AS r FROM t UNION ALL SELECT 'phrase', pr FROM t UNION ALL SELECT 'pool', fr FROM t), o AS (SELECT leg, list_sort(list(r)) AS rs, count(*) AS asked FROM u WHERE r IS NOT NULL GROUP BY leg)
+  SELECT leg, len(rs) AS n, rs[len(rs) // 2 + 1]::INT AS upper_median FROM o"""
+)
+def leg_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leg and the pool: how many sought documents it found, and their upper median rank."""
+    ranks = F.array(*(F.struct(F.lit(name).alias("leg"), F.col(c).alias("r")) for name, c in (("bm25", "br"), ("phrase", "pr"), ("pool", "fr"))))
+    return mt.upper_median(probes(spark, sf_dir).select(F.inline(ranks)), "r", "leg")
 
 
 @query("""WITH RECURSIVE pool AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, d.vec_id) AS rank
-  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20 QUALIFY rank <= 40),
+  FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 40),
 sims AS (SELECT a.query_id, a.rank AS i, b.rank AS j, round(list_dot_product(a.v, b.v), 6) AS s FROM pool a JOIN pool b USING (query_id)),
 pick AS (SELECT DISTINCT query_id, [1, 2, 3] AS chosen FROM pool
   UNION ALL SELECT query_id, list_append(chosen, best) FROM (
@@ -221,13 +258,51 @@ SELECT p.query_id, p.doc_id, list_position(c.chosen, p.rank::INT)::INT AS rank F
 def mmr_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten of the forty nearest vectors of each query, by maximal marginal relevance."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = rt.dense(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), queries, 40)
-    pool = near.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").withColumn("repel", F.lit(-1e9))
+    pool = _nearest(spark, sf_dir, 40).join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").withColumn("repel", F.lit(-1e9))
     return rt.diversified(pool, 10, 0.5).where("rank <= 10")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), pool AS (SELECT query_id, vec_id AS doc_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(embedding::DOUBLE[], q.v), 6) DESC, vec_id)::INT AS rank
+  FROM embeddings JOIN q ON query_id <> vec_id QUALIFY rank <= 40)
+SELECT p.query_id, p.doc_id, p.rank, round(max(list_dot_product(p.v, s.v)), 6) AS repel FROM pool p JOIN pool s ON p.query_id = s.query_id AND s.rank <= 5 GROUP BY ALL""")
+def shown_repel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How like each candidate is to the likest of what a query was shown (here its first five)."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    pool = _nearest(spark, sf_dir, 40).select("query_id", "doc_id", "rank")
+    return rt.repelled(pool.join(e, "doc_id"), pool.where("rank <= 5").join(e, "doc_id")).select("query_id", "doc_id", "rank", "repel")
+
+
 @query()
+def repel_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slates that keep away from what was shown before, by maximal marginal relevance against it."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    pool = _nearest(spark, sf_dir, 40).select("query_id", "doc_id", "rank").join(e, "doc_id")
+    return rt.diversified(rt.repelled(pool, pool.where("rank <= 5")), 10, 0.5, within=False)
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT query_id, unnest(range(0, 12)) AS pos, v FROM q), i AS (SELECT query_id, pos, (query_id * 31 + pos * 977 + 1) % ((SELECT max(vec_id) FROM embeddings) + 500) AS doc_id, v FROM c),
+s AS (SELECT i.query_id, i.pos, i.doc_id, round(list_dot_product(e.embedding::DOUBLE[], i.v), 6) AS score FROM i LEFT JOIN embeddings e ON i.doc_id = e.vec_id)
+SELECT query_id, doc_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, pos)::INT AS rank FROM s""")
+def subset_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given candidates (some without a vector) ranked by likeness; unknown ones follow in their order."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    last = e.agg(F.max("vec_id").alias("last"))
+    cand = queries.crossJoin(F.broadcast(last)).select("query_id", "last", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos"))  # one row
+    cand = cand.select("query_id", F.col("pos").cast("long").alias("pos"), ((F.col("query_id") * 31 + F.col("pos") * 977 + 1) % (F.col("last") + 500)).alias("doc_id"))
+    return rt.ranked_subset(cand, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), queries)
+
+
+_RERANK_SQL = """
+docs AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(left(coalesce(text, ''), 400)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS dw FROM documents),
+ask AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS qw FROM benchmark),
+m AS (SELECT f.query_id, f.doc_id, f.rank, len(list_intersect(qw, dw)) / greatest(1, len(qw)) AS model FROM fused f JOIN ask USING (query_id) JOIN docs USING (doc_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY model DESC, rank) AS again FROM m WHERE rank <= 20),
+v AS (SELECT query_id, doc_id, rank, round(1.0 / (60 + rank) + 3.0 / (60 + again), 9) AS value FROM h UNION ALL SELECT query_id, doc_id, rank, NULL FROM m WHERE rank > 20)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY value DESC NULLS LAST, rank)::INT AS rank FROM v"""
+
+
+@query(f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 50, 'bm')}, {_GRAM_SQL.replace('{n}', '50')}, {_LEGS_SQL}, weighed AS (SELECT *, 2.0 AS w FROM legs)," + _FUSE_SQL.format(keys="", legs="weighed", n=30) + "," + _RERANK_SQL)
 def rerank_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fused pool with its head re-ordered by an injected pair scorer (here: shared words)."""
     pool = rt.fused(two_legs(spark, sf_dir), [2.0, 2.0], 30)

@@ -64,8 +64,11 @@ def append_disclosures(rows: DataFrame, path: str) -> None:
 
 
 def carried_values(store: DataFrame, least: int = 2) -> DataFrame:
-    """(key, attribute, value): what a profile disclosed most often, at least ``least`` times; first seen wins ties."""
-    n = store.groupBy("key", "attribute", "value").agg(F.countDistinct("session").alias("n"), F.min("session").alias("first")).where(F.col("n") >= least)
+    """(key, attribute, value): what a profile disclosed most often, at least ``least`` times; first seen wins ties.
+
+    Every disclosure counts, also a second one in the same session.
+    """
+    n = store.groupBy("key", "attribute", "value").agg(F.count(F.lit(1)).alias("n"), F.min("session").alias("first")).where(F.col("n") >= least)
     place = F.row_number().over(Window.partitionBy("key", "attribute").orderBy(F.desc("n"), "first", "value"))
     return n.withColumn("place", place).where("place = 1").select("key", "attribute", "value")
 

@@ -1,6 +1,7 @@
 """Traps and edge cases of single operators."""
 
 import sqlite3
+import statistics
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import extract as ex
 from brindle.functions import text as tx
-from brindle.operators import metrics, policy, retrieval, sessions
+from brindle.operators import index, metrics, policy, retrieval, sessions
 from brindle.plans.analytics import chat_turns
 
 
@@ -64,23 +65,66 @@ def test_flat_fields(spark):
     assert row.select(tx.flat(F.col("s"), kinds["s"])).first()[0] == ""
 
 
-def test_bm25_matches_the_full_text_engine(spark):
+def indexed(spark, docs, schema, tmp_path, *fields):
+    index.build(spark.createDataFrame(docs, schema), {f: f for f in fields}, str(tmp_path / "ix"))
+    return index.opened(spark, str(tmp_path / "ix"))
+
+
+def test_bm25_and_phrases_match_the_full_text_engine(spark, tmp_path):
     docs = [(1, "red shoe", "a comfortable red shoe for running"), (2, "blue shoe", "shoe shoe shoe"), (3, "hat", "plain hat"), (4, "scarf", "red wool"), (5, "boot", "running boot"), (6, "sock", "wool sock")]
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE p USING fts5(id UNINDEXED, title, body)")
     db.executemany("INSERT INTO p VALUES (?, ?, ?)", docs)
     want = db.execute("SELECT id, -bm25(p, 0, 6.0, 1.0) FROM p WHERE p MATCH 'red OR running' ORDER BY 2 DESC").fetchall()
     terms = spark.createDataFrame([(9, "red"), (9, "running")], "query_id int, term string")
-    got = retrieval.bm25(spark.createDataFrame(docs, "doc_id int, title string, body string"), terms, 10, {"title": "title", "body": "body"}, {"title": 6.0, "body": 1.0}).orderBy("rank").collect()
+    ix = indexed(spark, docs, "doc_id int, title string, body string", tmp_path, "title", "body")
+    got = index.bm25(ix, terms, 10, {"title": 6.0, "body": 1.0}).orderBy("rank").collect()
     assert {r.doc_id for r in got} == {int(i) for i, _ in want}
     for i, score in want:
         assert abs(next(r.score for r in got if r.doc_id == int(i)) - score) < 1e-5
-
-
-def test_a_field_of_weight_zero_still_matches(spark):
-    docs = spark.createDataFrame([(1, "x", "hat"), (2, "y", "boot")], "doc_id int, title string, store string")
+    grams = [("red shoe",), ("shoe shoe",), ("shoe shoe shoe",), ("shoe red",), ("a comfortable red shoe",), ("shoe a",), ("wool",), ("no such",)]
+    have = {(r.gram, r.doc_id) for r in index.gram_places(ix, spark.createDataFrame(grams, "gram string")).collect()}
+    assert have == {(g, int(i)) for (g,) in grams for (i,) in db.execute("SELECT id FROM p WHERE p MATCH ?", (f'"{g}"',))}
+
+
+def test_a_grid_of_field_weights_equals_each_setting(spark, tmp_path):
+    docs = [(i, f"t{i % 3} red", " ".join(f"w{j % (i + 2)}" for j in range(9)) + " red t1") for i in range(12)]
+    ix = indexed(spark, docs, "doc_id int, title string, body string", tmp_path, "title", "body")
+    terms = spark.createDataFrame([(1, "t1"), (1, "w3"), (2, "red")], "query_id int, term string")
+    grid = spark.createDataFrame([(0, [6.0, 1.0]), (1, [0.0, 2.0])], "setting int, weights array<double>")
+    got = index.bm25_grid(ix, terms, 5, grid)
+    for k, w in ((0, {"title": 6.0, "body": 1.0}), (1, {"title": 0.0, "body": 2.0})):
+        assert sorted(map(tuple, got.where(f"setting = {k}").drop("setting").collect())) == sorted(map(tuple, index.bm25(ix, terms, 5, w).collect()))
+
+
+def test_contained_passages(spark, tmp_path):
+    docs = [(1, "xalpha beta gamma delta"), (2, "alpha beta gamma"), (3, "Alpha beta gamma."), (4, "beta"), (5, None), (6, "alpha  beta gamma")]
+    table = spark.createDataFrame(docs, "doc_id int, text string")
+    ix = indexed(spark, docs, "doc_id int, text string", tmp_path, "text")
+    passages = [(1, "alpha beta gamma"), (2, "beta"), (3, ""), (4, None), (5, "no such words here"), (6, "lpha beta gamma d")]
+    got = {(r.query_id, r.doc_id) for r in index.containing(ix, table, spark.createDataFrame(passages, "query_id int, passage string")).collect()}
+    assert got == {(q, d) for q, p in passages for d, t in docs if p is not None and t is not None and p in t}
+
+
+def test_an_index_is_kept_and_guarded(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    make = lambda df: df
+    spark.createDataFrame([(1, "red")], "doc_id int, text string").write.parquet(path)
+    first = index.kept(spark.read.parquet(path), make, {"text": "text"}, "t")
+    assert index.kept(spark.read.parquet(path), make, {"text": "text"}, "t").postings.inputFiles() == first.postings.inputFiles()
+    spark.createDataFrame([(1, "red"), (2, "blue")], "doc_id int, text string").write.mode("overwrite").parquet(path)
+    again = index.kept(spark.read.parquet(path), make, {"text": "text"}, "t")
+    assert again.size.first().n_docs == 2 and again.postings.inputFiles() != first.postings.inputFiles()
+    index.build(spark.read.parquet(path).limit(0), {"text": "text"}, str(tmp_path / "none"), "x")
+    assert index.opened(spark, str(tmp_path / "none"), "x").postings.count() == 0
+    with pytest.raises(ValueError):
+        index.opened(spark, str(tmp_path / "none"), "y")
+
+
+def test_a_field_of_weight_zero_still_matches(spark, tmp_path):
+    ix = indexed(spark, [(1, "x", "hat"), (2, "y", "boot")], "doc_id int, title string, store string", tmp_path, "title", "store")
     terms = spark.createDataFrame([(1, "hat")], "query_id int, term string")
-    got = retrieval.bm25(docs, terms, 5, {"title": "title", "store": "store"}, {"title": 6.0, "store": 0.0}).collect()
+    got = index.bm25(ix, terms, 5, {"title": 6.0, "store": 0.0}).collect()
     assert [(r.doc_id, r.score) for r in got] == [(1, 0.0)]
 
 
@@ -97,7 +141,29 @@ def test_rerank_failure_keeps_the_order(spark):
     def broken(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([None] * len(q), dtype=float)
 
-    assert [r.doc_id for r in retrieval.reranked(rows, broken).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    def raising(q: pd.Series, d: pd.Series) -> pd.Series:
+        raise OSError("no model")
+
+    for scorer in (broken, raising):
+        assert [r.doc_id for r in retrieval.reranked(rows, scorer).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_rows_beyond_the_window_keep_their_order(spark):
+    """Nothing of a long list is lost, and only its head moves."""
+    rows = [(1, d, d, [1.0, 0.0] if d % 2 else [0.0, 1.0], -1e9) for d in range(1, 601)] + [(2, d, d, [1.0, 0.0], -1e9) for d in range(1, 6)]
+    got = retrieval.diversified(spark.createDataFrame(rows, "query_id long, doc_id long, rank int, vector array<double>, repel double"), 10, 0.5).orderBy("query_id", "rank").collect()
+    mine = [r.doc_id for r in got if r.query_id == 1]
+    assert sorted(mine) == list(range(1, 601)) and mine[40:] == list(range(41, 601)) and mine[:3] == [1, 2, 3]
+    assert [r.doc_id for r in got if r.query_id == 2] == [1, 2, 3, 4, 5]
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    v = [(i, [float((i * 7 + j * 3) % 11) for j in range(4)]) for i in range(60)]
+    vectors = spark.createDataFrame(v, "doc_id long, v array<double>")
+    queries = vectors.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    whole = sorted(map(tuple, retrieval.dense(vectors, queries, 3).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 9)
+    assert sorted(map(tuple, retrieval.dense(vectors, queries, 3).collect())) == whole and len(whole) == 180
 
 
 def test_entropy_edges(spark):
@@ -113,7 +179,25 @@ def test_routing(spark):
 
 def test_empty_sessions_report(spark):
     empty = spark.createDataFrame([], "scenario string, hit_turn int, hit_rank int")
-    assert metrics.session_report(empty).where("scenario is not null").count() == 0
+    (row,) = metrics.session_report(empty).collect()
+    assert (row.scenario, row.n, row.hit_rate, row.mrr, row.mttc, row.efficiency, row.score) == (None, 0, 0.0, 0.0, None, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, 10.0], [5.0], [2.0, 2.0, 2.0, 7.0, 7.0], [float(i * i % 101) for i in range(333)], [float(i) for i in range(20)]])
+def test_latency_and_quartiles_follow_the_sorted_values(spark, values):
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", None)], "k string, v double")
+    got = {r.k: r for r in metrics.latency(rows, "v", "k").collect()}
+    s, n = sorted(values), len(values)
+    assert got["a"].p50 == round(statistics.median(s), 1) and got["a"].max == max(s) and got["a"].n == n
+    assert got["a"].p95 == round(s[int(n * 0.95) - 1] if n >= 20 else s[-1], 1) and got["b"].p50 == 1.0
+    cut = metrics.quartile_cuts(rows.where("k = 'a'"), "v").first()
+    assert (cut.q1, cut.q2, cut.q3) == (s[n // 4], s[n // 2], s[3 * n // 4])
+    assert metrics.upper_median(rows.where("k = 'a'"), "v", "k").first().upper_median == s[n // 2]
+
+
+@pytest.mark.parametrize("text, want", [("size 9w", True), ("us 10x", True), ("US 9.5", True), ("xxl fit", True), ("xxlarge", False), ("smaller", False), ("12 inches", True), ("12 inchesx", False), ("oversize 9", False)])
+def test_sizes(spark, text, want):
+    assert ("size" in one(spark, text, ex.detected_attributes)) is want
 
 
 def test_fold_equals_its_native_twin(spark, sf):

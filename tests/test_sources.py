@@ -40,6 +40,8 @@ def test_profile_store(spark, tmp_path):
     for rows in ([("k", "color", "red", 1)], [("k", "color", "red", 2), ("k", "color", "blue", 2), ("j", "color", "tan", 1)]):
         catalog.append_disclosures(spark.createDataFrame(rows, "key string, attribute string, value string, session int"), path)
     assert [tuple(r) for r in catalog.carried_values(spark.read.parquet(path)).collect()] == [("k", "color", "red")]
+    twice = spark.createDataFrame([("k", "color", "tan", 1), ("k", "color", "tan", 1)], "key string, attribute string, value string, session int")
+    assert [r.value for r in catalog.carried_values(twice).collect()] == ["tan"]
 
 
 def test_replay_and_log(spark, tmp_path):
