@@ -63,11 +63,10 @@ def retracted(text: Column, value: Column) -> Column:
 
 
 def built_query(first: Column, recent: Column, limit: int = 2000) -> Column:
-    """The first message and the newest part of the recent ones, in at most ``limit`` characters."""
-    tail = F.array_join(recent, " ")
-    room = F.greatest(F.lit(limit) - F.length(first) - 1, F.lit(0))
-    kept = F.when(room > 0, F.substring(tail, F.greatest(F.length(tail) - room + 1, F.lit(1)), room)).otherwise(F.lit(""))
-    return F.left(F.trim(F.concat_ws(" ", first, kept)), F.lit(limit))
+    """The first message and, of the last ``limit`` characters of the recent ones, as many from their beginning as there is room for."""
+    tail = F.right(F.array_join(recent, " "), F.lit(limit))
+    kept = F.left(tail, F.greatest(F.lit(limit) - F.length(first) - 1, F.lit(0)))
+    return F.concat_ws(" ", F.nullif(first, F.lit("")), F.nullif(kept, F.lit("")))
 
 
 def flat(col: Column, kind: T.DataType) -> Column:

@@ -101,6 +101,91 @@ def upper_median(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return running_counts(rows, value, *keys).groupBy(*keys).agg(F.max("n").alias("n"), value_at(value, F.floor(F.col("n") / 2)).alias("upper_median"))
 
 
+def medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, n, median): the middle value, or the mean of the two in the middle."""
+    n = F.col("n")
+    middle = (value_at(value, F.floor((n - 1) / 2)) + value_at(value, F.floor(n / 2))) / 2
+    return running_counts(rows, value, *keys).groupBy(*keys).agg(F.max("n").alias("n"), middle.cast("double").alias("median"))
+
+
+def threshold_choice(rows: DataFrame, thresholds: list[tuple[int, float]]) -> DataFrame:
+    """(k, precision, template_recall, other_recall, chosen) of every threshold, in one pass over (pool, value).
+
+    ``pool`` is "answer" (must not be flagged), "template" (must be) or "other" (should be).  Chosen is
+    the threshold with the best sum of precision and other recall among those that catch every
+    template, the first of equals; none if no threshold does.
+    """
+    n = lambda c: F.count(F.when(c, 1)).cast("double")
+
+    def one(k: int, t: float) -> Column:
+        share = lambda p: F.try_divide(n((F.col("pool") == p) & (F.col("value") > t)), n(F.col("pool") == p))
+        return F.struct(F.lit(k).alias("k"), F.round(1 - share("answer"), 6).alias("precision"), F.round(share("template"), 6).alias("template_recall"), F.round(share("other"), 6).alias("other_recall"))
+
+    points = rows.agg(F.array(*(one(k, t) for k, t in thresholds)).alias("a")).select(F.inline("a"))
+    whole = F.col("template_recall") == 1
+    best = F.row_number().over(Window.orderBy(F.desc_nulls_last(whole), F.desc_nulls_last(F.round(F.col("precision") + F.col("other_recall"), 9)), "k"))
+    return points.withColumn("chosen", whole & (best == 1))
+
+
+def marginals(values: DataFrame) -> DataFrame:
+    """(attribute, value, n, total, kinds) of long-form (id, attribute, value)."""
+    n = values.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+    sums = n.groupBy("attribute").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))  # one row an attribute
+    return n.join(F.broadcast(sums), "attribute")
+
+
+def joint_counts(values: DataFrame) -> DataFrame:
+    """(given, evidence, target, value, joint) for all ordered pairs of different attributes of a row."""
+    rows = values.groupBy("id").agg(F.collect_list(F.struct("attribute", "value")).alias("vs"))  # a few attributes a row
+    one = rows.select("vs", F.explode("vs").alias("e")).select("e", F.explode("vs").alias("t")).where("e.attribute <> t.attribute")
+    return one.groupBy(F.col("e.attribute").alias("given"), F.col("e.value").alias("evidence"), F.col("t.attribute").alias("target"), F.col("t.value").alias("value")).agg(F.count(F.lit(1)).alias("joint"))
+
+
+def cooccurrence(values: DataFrame, least: int = 50) -> DataFrame:
+    """(given, evidence, target, value, joint, support, posterior, lift) of the pairs seen; evidence with less support is left out.
+
+    A pair that is not in the result has joint 0, and the posterior 1 / (support + kinds) of its target.
+    """
+    m = marginals(values)
+    given = m.where(F.col("n") >= least).select(F.col("attribute").alias("given"), F.col("value").alias("evidence"), F.col("n").alias("support"))
+    target = m.select(F.col("attribute").alias("target"), "value", "n", "total", "kinds")
+    both = joint_counts(values).join(given, ["given", "evidence"]).join(target, ["target", "value"])
+    posterior = (F.col("joint") + 1.0) / (F.col("support") + F.col("kinds"))
+    return both.select("given", "evidence", "target", "value", "joint", "support", F.round(posterior, 6).alias("posterior"), F.round(posterior / (F.col("n") / F.col("total")), 6).alias("lift"))
+
+
+def predicted_values(lifts: DataFrame, least: float = 1.5) -> DataFrame:
+    """(given, evidence, target, predicted, lift): the value of the best lift, null if that is not above ``least``."""
+    place = F.row_number().over(Window.partitionBy("given", "evidence", "target").orderBy(F.desc("lift"), "value"))
+    best = lifts.withColumn("place", place).where("place = 1")
+    return best.select("given", "evidence", "target", F.when(F.col("lift") > least, F.col("value")).alias("predicted"), "lift")
+
+
+def naive_bayes(values: DataFrame, target: str, least: int = 50) -> DataFrame:
+    """(id, guess, k): each row's likeliest value of ``target`` given all its other attributes with enough support, ``k`` of them.
+
+    The likelihoods P(evidence | value) are smoothed by one.  Every row starts from the scores of
+    unseen pairs, which are the same for all rows of as many pieces of evidence, and only the values
+    that were seen with some of its evidence are corrected, so no grid of rows and values is made.
+    """
+    m = marginals(values)
+    t = m.where(F.col("attribute") == target).select("value", "n", "total")
+    evidence = values.where(F.col("attribute") != target).join(m.where(F.col("n") >= least).select("attribute", "value", "kinds"), ["attribute", "value"])
+    keys = evidence.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("attribute", "value", "kinds"))).alias("es"))
+    kinds = keys.select("es").distinct()  # distinct combinations of evidence, each scored once
+    seen = joint_counts(values).where(F.col("target") == target).select("given", "evidence", "value", "joint")
+    parts = kinds.select("es", F.explode("es").alias("e")).select("es", F.col("e.attribute").alias("given"), F.col("e.value").alias("evidence"), F.col("e.kinds").alias("kinds"))
+    gain = F.log((F.col("joint") + 1.0) / (F.col("n") + F.col("kinds"))) - F.log(1.0 / (F.col("n") + F.col("kinds")))
+    met = parts.join(seen, ["given", "evidence"]).join(t, "value").groupBy("es", "value").agg(F.sum(gain).alias("gain"))
+    spread = parts.groupBy("es").agg(F.collect_list("kinds").alias("all"))
+    base = F.aggregate("all", F.log(F.col("n") / F.col("total")), lambda s, x: s + F.log(1.0 / (F.col("n") + x)))
+    grid = spread.crossJoin(F.broadcast(t)).select("es", "value", base.alias("base"))  # combinations by target values, a vocabulary
+    score = F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 9)
+    place = F.row_number().over(Window.partitionBy("es").orderBy(F.desc("score"), "value"))
+    best = grid.join(met, ["es", "value"], "left").withColumn("score", score).withColumn("place", place).where("place = 1")
+    return keys.join(best.select("es", F.col("value").alias("guess")), "es").select("id", "guess", F.size("es").cast("long").alias("k"))
+
+
 def band(x: Column, edges: tuple[float, ...]) -> Column:
     """The index of the half-open band that holds ``x``."""
     out = F.lit(None).cast("int")

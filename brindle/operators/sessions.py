@@ -2,114 +2,241 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as ex
+from ..functions import text as tx
 from ..functions import vocab
 
 RECENT = 10
-FOLDED = "session long, turn long, segment int, query string, boundary boolean, color string, material string, budget string, informative int"
+#: Characters of a query.
+QUERY_CHARS = 2000
+SLOTS = ("material", "color", "budget")
+FOLDED = (
+    "session long, turn long, segment int, query string, phrase_query string, boundary boolean, color string, material string, budget string, "
+    "retracted string, informative int"
+)
 
 
 def turn_signals(turns: DataFrame, text: str = "text") -> DataFrame:
-    """(session, turn, text) with what the transition needs, all from native expressions."""
+    """(session, turn, text) with what the transition needs, all from native expressions.
+
+    ``turns`` may carry ``categories``, the category words that a turn names (``named_categories``).
+    """
     t = F.coalesce(F.col(text), F.lit(""))
+    named = F.coalesce("categories", F.array().cast("array<string>")) if "categories" in turns.columns else F.array().cast("array<string>")
     return turns.select(
         "session", "turn", t.alias("text"), ex.override_cue(t).alias("override"), ex.defer_cue(t).alias("defer"),
         (ex.reply_class(t) == "non_answer").alias("contentless"), ex.disclosed_value(t, vocab.COLORS).alias("color"),
-        ex.disclosed_value(t, vocab.CATALOG_MATERIALS).alias("material"), ex.budget(t).alias("budget"),
+        ex.disclosed_value(t, vocab.CATALOG_MATERIALS).alias("material"), ex.budget(t).alias("budget"), named.alias("categories"),
     )
 
 
+def named_categories(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``turns`` with ``categories``: the words of ``vocabulary`` (word) that a turn names, as they are or in the plural.
+
+    Words of attributes name no category; of a term, its plural by s and that by es, the first that
+    is in the vocabulary counts.
+    """
+    attribute = tx.literals(sorted({w for v in (*vocab.CATALOG_MATERIALS, *vocab.COLORS) for w in v.split()}))
+    terms = F.array_distinct(tx.terms(tx.normalized_query(F.col("text"))))
+    forms = turns.select("session", "turn", F.explode(terms).alias("term")).where(~F.array_contains(attribute, F.col("term")))
+    each = forms.select("session", "turn", "term", F.posexplode(F.array("term", F.concat("term", F.lit("s")), F.concat("term", F.lit("es")))).alias("k", "word"))
+    known = each.join(vocabulary.select("word").distinct(), "word").groupBy("session", "turn", "term").agg(F.min_by("word", "k").alias("word"))
+    found = known.groupBy("session", "turn").agg(F.array_sort(F.collect_set("word")).alias("categories"))
+    return turns.join(found, ["session", "turn"], "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+
+
 def fresh() -> dict:
-    return {"first": None, "recent": [], "informative": 0, "slots": {}, "boundary": False, "segment": 0}
+    return {"first": None, "recent": [], "informative": [], "slots": {}, "stated": {}, "retracted": [], "asked": [], "shown": [], "boundary": False, "segment": 0}
 
 
-def step(state: dict, row: dict) -> dict:
-    """One turn: a new state.  An override clears what was disclosed and becomes the first message."""
-    s = {**state, "recent": list(state["recent"]), "slots": dict(state["slots"])}
+def _named(message: dict) -> set:
+    return set(message["categories"])
+
+
+def step(state: dict, row: dict, scoped: bool = False) -> dict:
+    """One turn: a new state.
+
+    An override clears what was disclosed, asked, shown and retracted; one that names a category not
+    named before also becomes the first message and drops the recent ones, then is itself a recent
+    one.  With ``scoped``, an override that states slots and names no new category clears only these
+    slots and retracts the values that they had.
+    """
+    s = {k: list(v) if isinstance(v, list) else dict(v) if isinstance(v, dict) else v for k, v in state.items()}
+    told = {k: row[k] for k in SLOTS if isinstance(row[k], str)}
+    message = {"text": row["text"], "categories": list(row["categories"]) if row.get("categories") is not None else []}
     if s["first"] is None:
-        s["first"] = row["text"]
+        s["first"] = message
     else:
         if row["override"]:
-            s |= {"first": row["text"], "recent": [], "informative": 0, "slots": {}, "boundary": False, "segment": s["segment"] + 1}
-        s["boundary"] = s["boundary"] or (row["contentless"] and row["defer"])
+            new = _named(message) - _named(s["first"]).union(*map(_named, s["recent"]))
+            if scoped and told and not new:
+                s["retracted"] += [s["slots"][k] for k in told if k != "budget" and s["slots"].get(k, told[k]) != told[k]]
+                for k in told:
+                    s["slots"].pop(k, None)
+                    s["stated"].pop(k, None)
+            else:
+                s |= {"informative": [], "slots": {}, "stated": {}, "retracted": [], "asked": [], "shown": [], "boundary": False, "segment": s["segment"] + 1}
+            if new:
+                s |= {"first": message, "recent": []}
+        s["boundary"] = s["boundary"] or bool(row["contentless"] and row["defer"])
         if not row["contentless"]:
-            s["recent"] = (s["recent"] + [row["text"]])[-RECENT:]
-            s["informative"] += 1
-    for slot in ("color", "material", "budget"):
-        if isinstance(row[slot], str):
-            s["slots"][slot] = row[slot]
+            s["recent"] = (s["recent"] + [message])[-RECENT:]
+            s["informative"] = (s["informative"] + [row["text"]])[-RECENT:]
+    for slot, value in told.items():
+        s["retracted"] = [x for x in s["retracted"] if x != value]
+        s["slots"][slot], s["stated"][slot] = value, row["turn"]
     return s
 
 
+def query_text(state: dict, recent: list[str]) -> str:
+    """The first message and as much of the recent ones as there is room for, without retracted values."""
+
+    def bare(text: str) -> str:
+        for value in state["retracted"]:
+            text = re.sub(r"(?<!\w)" + re.escape(value) + r"(?!\w)", " ", text, flags=re.IGNORECASE)
+        return re.sub(r"\s{2,}", " ", text).strip() if state["retracted"] else text
+
+    first = bare((state["first"] or {"text": ""})["text"])
+    tail = bare(" ".join(recent))[-QUERY_CHARS:]
+    return " ".join(x for x in (first, tail[: max(0, QUERY_CHARS - len(first) - 1)]) if x)
+
+
 def view(state: dict, session, turn) -> dict:
     return {
-        "session": session, "turn": turn, "segment": state["segment"], "query": " ".join([state["first"] or "", *state["recent"]]).strip(), "boundary": state["boundary"],
-        **{k: state["slots"].get(k) for k in ("color", "material", "budget")}, "informative": state["informative"],
+        "session": session, "turn": turn, "segment": state["segment"], "query": query_text(state, [m["text"] for m in state["recent"]]),
+        "phrase_query": query_text(state, state["informative"]), "boundary": state["boundary"], **{k: state["slots"].get(k) for k in ("color", "material", "budget")},
+        "retracted": ",".join(state["retracted"]), "informative": len(state["informative"]),
     }
 
 
-def fold(signals: DataFrame) -> DataFrame:
+def spelled(folded: DataFrame) -> DataFrame:
+    """Folded rows with their queries in normal spelling."""
+    return folded.withColumn("query", tx.normalized_query(F.col("query"))).withColumn("phrase_query", tx.normalized_query(F.col("phrase_query")))
+
+
+def fold(signals: DataFrame, scoped: bool = False) -> DataFrame:
     """The state after every turn, by running the transition over each session's turns in order."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = fresh(), []
         for row in rows.sort_values("turn", kind="stable").to_dict("records"):
-            state = step(state, row)
+            state = step(state, row, scoped)
             out.append(view(state, row["session"], row["turn"]))
         return pd.DataFrame(out)
 
-    return signals.groupBy("session").applyInPandas(run, FOLDED)
+    return spelled(signals.groupBy("session").applyInPandas(run, FOLDED))
 
 
 def fold_native(signals: DataFrame) -> DataFrame:
-    """The same with window functions: segments by running overrides, then last values and counts within each."""
+    """What the fold knows but the queries, with window functions: segments by running overrides, last values and counts within each."""
     session = Window.partitionBy("session").orderBy("turn")
     opening = F.row_number().over(session) == 1
     s = signals.withColumn("opens", opening).withColumn("segment", F.sum((F.col("override") & ~F.col("opens")).cast("int")).over(session).cast("int"))
     inside = Window.partitionBy("session", "segment").orderBy("turn")
     told = ~F.col("contentless") & ~F.col("opens")
-    first = F.first("text").over(inside)
-    recent = F.slice(F.reverse(F.filter(F.collect_list(F.when(told, F.col("text"))).over(inside), lambda x: x.isNotNull())), 1, RECENT)
     last = lambda c: F.last(c, ignorenulls=True).over(inside)
     return s.select(
-        "session", "turn", "segment", F.trim(F.concat_ws(" ", first, F.array_join(F.reverse(recent), " "))).alias("query"),
-        F.max(F.col("contentless") & F.col("defer") & ~F.col("opens")).over(inside).alias("boundary"), last("color").alias("color"), last("material").alias("material"),
-        last("budget").alias("budget"), F.sum(told.cast("int")).over(inside).cast("int").alias("informative"),
+        "session", "turn", "segment", F.max(F.col("contentless") & F.col("defer") & ~F.col("opens")).over(inside).alias("boundary"), last("color").alias("color"),
+        last("material").alias("material"), last("budget").alias("budget"), F.least(F.sum(told.cast("int")).over(inside), F.lit(RECENT)).cast("int").alias("informative"),
     )
 
 
+def category_pivots(turns: DataFrame) -> DataFrame:
+    """(session, turn, pivots, latest): overrides that name a category new to the session's turns so far, and the last of them.
+
+    ``turns`` has (session, turn, override, categories).
+    """
+    before = Window.partitionBy("session").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("session").orderBy("turn")
+    seen = F.coalesce(F.array_distinct(F.flatten(F.collect_list("categories").over(before))), F.array().cast("array<string>"))
+    new = F.array_except("categories", seen)
+    pivot = F.col("override") & (F.size(new) > 0) & (F.row_number().over(upto) > 1)
+    rows = turns.withColumn("pivots", pivot)
+    return rows.select("session", "turn", "pivots", F.last(F.when(F.col("pivots"), F.col("turn")), ignorenulls=True).over(upto).alias("latest"))
+
+
+# What the simulated customer says.
+OPENING = {"buying": ("I'm looking for ", ". A key requirement is: ", "."), "intent_override": ("I'm looking for ", ". ", ""), "other": ("I'm looking for ", "", ", but I'm still exploring.")}
+HANDS_BACK = ("I don't have a preference for ", "; please use your judgment.")
+NO_QUESTION = "Those options are not quite right yet. Ask me about one specific attribute."
+NOTHING_MORE = ("I don't have an additional preference for ", ".")
+DISCLOSES = ("For that, what matters is: ", "; ", ".")
+OVERRIDES = ("Actually, ignore my earlier preference. What I need is: ", ".")
+NO_OLD_VALUE, NO_NEW_VALUE = "I prefer a different style.", "Please prioritize the target requirements."
+
+
+def behaviour(hard: Column, soft: Column, seed: Column) -> Column:
+    """Struct of the turn (3 or 4, by a hash of ``seed``) at which a customer overrides, and the old and new values."""
+    turn = F.when(F.crc32(seed.cast("binary")) % 2 == 0, 3).otherwise(4)
+    old = F.coalesce(F.try_element_at(soft, F.lit(-1)), F.lit(NO_OLD_VALUE))
+    return F.struct(turn.alias("turn"), old.alias("old"), F.coalesce(F.get(hard, F.lit(0)), F.lit(NO_NEW_VALUE)).alias("new"))
+
+
+def opening_message(kind: Column, category: Column, hard: Column, old: Column) -> Column:
+    """Struct of a customer's first message and the constraints that it discloses."""
+    none = F.array().cast("array<string>")
+    stated = (kind == "buying") & (F.size(hard) > 0)
+    a, b, c = OPENING["buying"]
+    says = (
+        F.when(stated, F.concat(F.lit(a), category, F.lit(b), F.get(hard, F.lit(0)), F.lit(c)))
+        .when(kind == "intent_override", F.concat(F.lit(OPENING["intent_override"][0]), category, F.lit(OPENING["intent_override"][1]), old))
+        .otherwise(F.concat(F.lit(OPENING["other"][0]), category, F.lit(OPENING["other"][2])))
+    )
+    return F.struct(says.alias("message"), F.when(stated, F.slice(hard, 1, 1)).otherwise(none).alias("told"))
+
+
 def customer_reply(kind: Column, constraints: Column, disclosed: Column, ask: Column, handed_back: Column) -> Column:
-    """A simulated customer's answer: struct of message and the constraints it discloses."""
-    matches = F.slice(F.filter(constraints, lambda c: ~F.array_contains(disclosed, c) & ((ask == "other") | (ex.constraint_class(c) == ask))), 1, 2)
+    """A simulated customer's answer: struct of message and the constraints it discloses.
+
+    A question about something that may not be asked is one about anything ("other").
+    """
     none = F.array().cast("array<string>")
     gives_back = (kind == "boundary") & ~handed_back & ask.isNotNull()
+    about = F.when(ask.isin(*vocab.ASKABLE), ask).otherwise(F.lit("other"))
+    matches = F.slice(F.filter(constraints, lambda c: ~F.array_contains(disclosed, c) & ((about == "other") | (ex.constraint_class(c) == about))), 1, 2)
     says = (
-        F.when(gives_back, F.concat(F.lit("I leave "), ask, F.lit(" to you; no preference, use your judgment.")))
-        .when(ask.isNull(), F.lit("None of these is right. Ask about one attribute."))
-        .when(F.size(matches) == 0, F.concat(F.lit("I don't have a further preference for "), ask, F.lit(".")))
-        .otherwise(F.concat(F.lit("What matters is: "), F.array_join(matches, "; "), F.lit(".")))
+        F.when(gives_back, F.concat(F.lit(HANDS_BACK[0]), ask, F.lit(HANDS_BACK[1])))
+        .when(ask.isNull(), F.lit(NO_QUESTION))
+        .when(F.size(matches) == 0, F.concat(F.lit(NOTHING_MORE[0]), about, F.lit(NOTHING_MORE[1])))
+        .otherwise(F.concat(F.lit(DISCLOSES[0]), F.array_join(matches, DISCLOSES[1]), F.lit(DISCLOSES[2])))
     )
     return F.struct(says.alias("message"), F.when(gives_back | ask.isNull(), none).otherwise(matches).alias("told"), (handed_back | gives_back).alias("handed_back"))
 
 
-def simulate(customers: DataFrame, asks: list[str | None]) -> DataFrame:
-    """(session, turn, message, n_told) of every customer when questions are asked in the given order.
+def simulate(customers: DataFrame, asks: list[str | None], turn_of: Column | None = None) -> DataFrame:
+    """(session, turn, message, n_told, overridden) of every customer: turn 1 opens, the next ones answer ``asks`` in order.
 
-    Turn-synchronous: each round is one projection over all sessions, so ten rounds are one plan
-    without a shuffle; a policy that needs a search between rounds checkpoints after each.
+    ``customers`` has (session, kind, category, hard, soft); ``turn_of`` says at which turn one overrides
+    (else a hash of the session and kind).  Turn-synchronous: each round is one
+    projection over all sessions, so ten rounds are one plan without a shuffle; a policy that needs a
+    search between rounds checkpoints after each.
     """
-    state = customers.select("session", "kind", "constraints", F.array().cast("array<string>").alias("disclosed"), F.lit(False).alias("handed_back"))
-    log = F.array()
-    state = state.withColumn("log", log.cast("array<struct<turn:int,message:string,n_told:int>>"))
-    for turn, ask in enumerate(asks[: vocab.MAX_TURNS], 1):
-        reply = customer_reply(F.col("kind"), F.col("constraints"), F.col("disclosed"), F.lit(ask).cast("string"), F.col("handed_back"))
-        state = state.withColumn("r", reply)
-        line = F.struct(F.lit(turn).alias("turn"), F.col("r.message").alias("message"), F.size("r.told").alias("n_told"))
-        state = state.select("session", "kind", "constraints", F.array_union("disclosed", "r.told").alias("disclosed"), F.col("r.handed_back").alias("handed_back"), F.array_append("log", line).alias("log"))
+    empty = F.array().cast("array<string>")
+    state = customers.withColumn("b", behaviour(F.col("hard"), F.col("soft"), F.concat_ws("|", F.col("session").cast("string"), "kind")))
+    if turn_of is not None:
+        state = state.withColumn("b", F.col("b").withField("turn", turn_of))
+    state = state.withColumn("o", opening_message(F.col("kind"), F.col("category"), F.col("hard"), F.col("b.old")))
+    line = lambda turn, message, told, over: F.struct(F.lit(turn).alias("turn"), message.alias("message"), F.size(told).alias("n_told"), over.alias("overridden"))
+    state = state.select(
+        "session", "kind", "b", F.concat("hard", "soft").alias("all"), F.col("o.told").alias("disclosed"), F.lit(False).alias("back"), (F.col("kind") != "intent_override").alias("over"),
+        F.array(line(1, F.col("o.message"), F.col("o.told"), F.col("kind") != "intent_override")).alias("log"),
+    )
+    for turn, ask in enumerate(asks[: vocab.MAX_TURNS - 1], 2):
+        state = state.withColumn("r", customer_reply(F.col("kind"), F.col("all"), F.col("disclosed"), F.lit(ask).cast("string"), F.col("back")))
+        now = ~F.col("over") & (F.col("b.turn") == turn)
+        message = F.when(now, F.concat(F.lit(OVERRIDES[0]), F.col("b.new"), F.lit(OVERRIDES[1]))).otherwise(F.col("r.message"))
+        told = F.when(now, F.array("b.new")).otherwise(F.coalesce("r.told", empty))
+        over = F.col("over") | now
+        state = state.select(
+            "session", "kind", "b", "all", F.array_union("disclosed", told).alias("disclosed"), F.when(now, F.col("back")).otherwise(F.col("r.handed_back")).alias("back"), over.alias("over"),
+            F.array_append("log", line(turn, message, told, over)).alias("log"),
+        )
     return state.select("session", F.inline("log"))
 
 

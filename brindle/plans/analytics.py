@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as ex
 from ..functions import vocab
+from ..operators import detectors as de
 from ..operators import metrics as mt
 from ..operators import policy as po
 from ..operators import retrieval as rt
 from ..operators import sessions as se
 from ..streaming import live
-from .language import messages
-from .registry import query, relation, table, values
+from .language import _M, PIVOTS, budget_sql, defer_sql, disclosed_sql, messages, override_sql, reply_sql, spelling_sql
+from .registry import _sql, query, relation, table, values
 
 _COLOR_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(p_name), '(?:^|[^a-z0-9_])(?:{c})(?:$|[^a-z0-9_])') THEN '{c}'" for c in vocab.COLORS) + " END"
 
@@ -124,26 +125,113 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(own)
 
 
+_VOCAB_SQL = "words AS (SELECT word FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE regexp_full_match(word, '[a-z]+') GROUP BY word HAVING count(*) >= 20)"
+_TURNS_SQL = f"""turns AS (SELECT session, turn, coalesce(text, '') AS text, lower(coalesce(text, '')) AS t FROM (SELECT conv_id AS session, turn, text FROM conversations WHERE role = 'user' UNION ALL SELECT -1, id, text FROM {_M} UNION ALL SELECT session, turn, text FROM {values(PIVOTS, 'session, turn, text')}))"""
+_NAMED_SQL = f"""{_VOCAB_SQL}, {_TURNS_SQL},
+ft AS (SELECT session, turn, unnest(list_distinct(list_filter(regexp_extract_all(lower({spelling_sql('text')}), '[a-z0-9]+'), lambda x: len(x) > 1 AND NOT list_contains({_sql(list(vocab.STOPWORDS))}, x)))) AS term FROM turns),
+fk AS (SELECT session, turn, term, CASE WHEN term IN (SELECT word FROM words) THEN term WHEN term || 's' IN (SELECT word FROM words) THEN term || 's' WHEN term || 'es' IN (SELECT word FROM words) THEN term || 'es' END AS word FROM ft
+  WHERE NOT list_contains({_sql(sorted({w for v in (*vocab.CATALOG_MATERIALS, *vocab.COLORS) for w in v.split()}))}, term)),
+named AS (SELECT session, turn, list_sort(list_distinct(list(word))) AS categories FROM fk WHERE word IS NOT NULL GROUP BY ALL)"""
+
+
+def category_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
+    return words.where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= vocab.CATEGORY_LEAST_DF)
+
+
+def named_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivots = relation(spark, PIVOTS, "session long, turn long, text string")
+    return se.named_categories(chat_turns(spark, sf_dir).unionByName(pivots), category_words(spark, sf_dir))
+
+
+@query(f"WITH {_NAMED_SQL} SELECT session, turn, array_to_string(coalesce(categories, []), ',') AS categories FROM turns LEFT JOIN named USING (session, turn)")
+def named_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the parts' vocabulary that a turn names, also in the singular."""
+    return named_turns(spark, sf_dir).select("session", "turn", F.array_join("categories", ",").alias("categories"))
+
+
+@query(
+    f"""WITH {_NAMED_SQL}, c AS (SELECT session, turn, {override_sql('text')} AS override, coalesce(categories, []) AS categories, row_number() OVER (PARTITION BY session ORDER BY turn) AS i FROM turns LEFT JOIN named USING (session, turn)),
+p AS (SELECT *, override AND i > 1 AND len(list_filter(categories, lambda x: NOT list_contains(coalesce(flatten(list(categories) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []), x))) > 0 AS pivots FROM c)
+SELECT session, turn, pivots, max(CASE WHEN pivots THEN turn END) OVER (PARTITION BY session ORDER BY turn) AS latest FROM p"""
+)
+def category_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides that name a category new to their session."""
+    turns = named_turns(spark, sf_dir)
+    return se.category_pivots(turns.withColumn("override", ex.override_cue(F.coalesce("text", F.lit("")))))
+
+
 @query()
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after every user turn, by the shared transition function (its native twin: session_state)."""
-    return se.fold(se.turn_signals(chat_turns(spark, sf_dir)))
+    return se.fold(se.turn_signals(named_turns(spark, sf_dir)))
 
 
 @query()
-def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.fold_native(se.turn_signals(chat_turns(spark, sf_dir)))
+def scoped_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with overrides that clear only the slots they state."""
+    return se.fold(se.turn_signals(named_turns(spark, sf_dir)), scoped=True)
 
 
-_CUSTOMERS = [(1, "buying", ["cotton", "color: red", "wide fit", "zip"]), (2, "boundary", ["leather"]), (3, "browsing", [])]
-_ASKS = ["material", "color", None, "other"]
-_TOLD = [(1, 1, 1), (1, 2, 1), (1, 3, 0), (1, 4, 2), (2, 1, 0), (2, 2, 0), (2, 3, 0), (2, 4, 1), (3, 1, 0), (3, 2, 0), (3, 3, 0), (3, 4, 0)]
+@query(
+    f"""WITH {_TURNS_SQL}, g AS (SELECT session, turn, {override_sql('text')} AS override, {defer_sql('t')} AS defer, {reply_sql('t')} = 'non_answer' AS contentless, {disclosed_sql('t', vocab.COLORS)} AS color, {disclosed_sql('t', vocab.CATALOG_MATERIALS)} AS material,
+  {budget_sql('t')} AS budget, row_number() OVER (PARTITION BY session ORDER BY turn) = 1 AS opens FROM turns),
+s AS (SELECT *, sum((override AND NOT opens)::INT) OVER (PARTITION BY session ORDER BY turn) AS segment FROM g)
+SELECT session, turn, segment::INT AS segment, max((contentless AND defer AND NOT opens)::INT) OVER w = 1 AS boundary, last_value(color IGNORE NULLS) OVER w AS color, last_value(material IGNORE NULLS) OVER w AS material, last_value(budget IGNORE NULLS) OVER w AS budget,
+least(sum((NOT contentless AND NOT opens)::INT) OVER w, 10)::INT AS informative FROM s WINDOW w AS (PARTITION BY session, segment ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
+)
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pivots = relation(spark, PIVOTS, "session long, turn long, text string")
+    return se.fold_native(se.turn_signals(chat_turns(spark, sf_dir).unionByName(pivots)))
+
+
+_ASKS = ["size", None, "weird", "material", "other"]
+_KIND_SQL = "CASE p_size % 4 WHEN 0 THEN 'buying' WHEN 1 THEN 'browsing' WHEN 2 THEN 'boundary' ELSE 'intent_override' END"
+
+
+def _simulation_sql() -> str:
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    low = "lower(c)"
+    kind_of = f"CASE WHEN contains({low}, 'budget') OR regexp_matches({low}, {q(ex.CONSTRAINT_PRICE)}) THEN 'budget' " + " ".join(f"WHEN {' OR '.join(f'contains({low}, {q(w)})' for w in ws)} THEN '{k}'" for k, ws in ex.CONSTRAINT_WORDS.items()) + " ELSE 'feature' END"
+    old, new = q(se.NO_OLD_VALUE), q(se.NO_NEW_VALUE)
+    o = se.OPENING
+    parts = [
+        f"""c AS (SELECT p_partkey AS session, {_KIND_SQL} AS kind, p_type AS category, CASE WHEN p_size % 7 = 0 THEN [] ELSE [p_brand || ' ' || p_name, 'size ' || p_size] END AS hard, CASE WHEN p_size % 5 = 0 THEN [] ELSE ['budget around $' || p_size, 'color: ' || split_part(p_name, ' ', 1)] END AS soft FROM part),
+b AS (SELECT *, list_concat(hard, soft) AS every, CASE WHEN session % 2 = 0 THEN 3 ELSE 4 END AS at_turn, coalesce(soft[-1], {old}) AS old, coalesce(hard[1], {new}) AS new FROM c),
+s1 AS (SELECT *, CASE WHEN kind = 'buying' AND len(hard) > 0 THEN {q(o['buying'][0])} || category || {q(o['buying'][1])} || hard[1] || {q(o['buying'][2])} WHEN kind = 'intent_override' THEN {q(o['intent_override'][0])} || category || {q(o['intent_override'][1])} || old
+  ELSE {q(o['other'][0])} || category || {q(o['other'][2])} END AS message, CASE WHEN kind = 'buying' THEN hard[1:1] ELSE [] END AS told, CASE WHEN kind = 'buying' THEN hard[1:1] ELSE [] END AS seen, false AS back, kind <> 'intent_override' AS ovr FROM b)"""
+    ]
+    keep = "session, kind, category, hard, soft, every, at_turn, old, new"
+    for turn, ask in enumerate(_ASKS, 2):
+        about = q(ask if ask in vocab.ASKABLE else "other")
+        fits = f"list_filter(every, lambda c: NOT list_contains(seen, c) AND ({about} = 'other' OR {kind_of} = {about}))[1:2]"
+        gives = "false" if ask is None else "(kind = 'boundary' AND NOT back)"
+        reply = q(se.NO_QUESTION) if ask is None else f"CASE WHEN gives THEN {q(se.HANDS_BACK[0] + ask + se.HANDS_BACK[1])} WHEN len(m) = 0 THEN {q(se.NOTHING_MORE[0])} || {about} || {q(se.NOTHING_MORE[1])} ELSE {q(se.DISCLOSES[0])} || array_to_string(m, {q(se.DISCLOSES[1])}) || {q(se.DISCLOSES[2])} END"
+        told = "[]" if ask is None else "CASE WHEN gives THEN [] ELSE m END"
+        parts.append(
+            f"""r{turn} AS (SELECT *, {fits} AS m, {gives} AS gives, NOT ovr AND at_turn = {turn} AS now FROM s{turn - 1}),
+n{turn} AS (SELECT {keep}, CASE WHEN now THEN {q(se.OVERRIDES[0])} || new || {q(se.OVERRIDES[1])} ELSE {reply} END AS message, CASE WHEN now THEN [new] ELSE {told} END AS told, seen, CASE WHEN now THEN back ELSE back OR gives END AS back, ovr OR now AS ovr FROM r{turn}),
+s{turn} AS (SELECT {keep}, message, told, list_concat(seen, told) AS seen, back, ovr FROM n{turn})"""
+        )
+    rows = " UNION ALL ".join(f"SELECT session, {t} AS turn, message, len(told)::INT AS n_told, ovr AS overridden FROM s{t}" for t in range(1, len(_ASKS) + 2))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A simulated customer for every part."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    kind = F.when(size % 4 == 0, "buying").when(size % 4 == 1, "browsing").when(size % 4 == 2, "boundary").otherwise("intent_override")
+    none, number = F.array().cast("array<string>"), size.cast("string")
+    hard = F.when(size % 7 == 0, none).otherwise(F.array(F.concat("p_brand", F.lit(" "), "p_name"), F.concat(F.lit("size "), number)))
+    soft = F.when(size % 5 == 0, none).otherwise(F.array(F.concat(F.lit("budget around $"), number), F.concat(F.lit("color: "), F.split("p_name", " ")[0])))
+    return p.select(F.col("p_partkey").alias("session"), kind.alias("kind"), F.col("p_type").alias("category"), hard.alias("hard"), soft.alias("soft"))
 
 
-@query(f"SELECT session, turn, n_told FROM {values(_TOLD, 'session, turn, n_told')}")
+@query(_simulation_sql())
 def simulated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against replies worked out by hand: who tells what when asked for material, color, nothing, anything."""
-    return se.simulate(relation(spark, _CUSTOMERS, "session int, kind string, constraints array<string>"), _ASKS).select("session", "turn", "n_told")
+    """What every customer says when asked for a size, nothing, something unknown, a material and anything else."""
+    return se.simulate(customers(spark, sf_dir), _ASKS, turn_of=F.when(F.col("session") % 2 == 0, 3).otherwise(4))
 
 
 @query("""WITH f AS (SELECT user_id AS session, (props->>'$.k')::INT AS id, min(ts::DATE) AS turn FROM events GROUP BY ALL), n AS (SELECT session, turn, count(*) AS c FROM f WHERE id IS NOT NULL GROUP BY ALL),
@@ -154,24 +242,42 @@ def running_slate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.running_slate(e).withColumn("turn", F.col("turn").cast("string"))
 
 
-_LIFT_SQL = """x AS (SELECT p_partkey, p_brand AS brand, p_type AS type, split_part(p_name, ' ', 1) AS word FROM part), m AS (SELECT word, count(*) AS n, (SELECT count(*) FROM x) AS t FROM x GROUP BY word),
-s AS (SELECT brand, count(*) AS support FROM x GROUP BY brand HAVING count(*) >= 50), j AS (SELECT brand, word, count(*) AS c FROM x GROUP BY ALL), k AS (SELECT count(*) AS kinds FROM m),
-l AS (SELECT brand, word, coalesce(c, 0) AS joint, round((coalesce(c, 0) + 1.0) / (support + kinds), 6) AS posterior, round(((coalesce(c, 0) + 1.0) / (support + kinds)) / (n / t), 6) AS lift FROM s CROSS JOIN m CROSS JOIN k LEFT JOIN j USING (brand, word))"""
+_COOC_SQL = """x AS (SELECT p_partkey AS id, unnest([{'a': 'category', 'v': p_type}, {'a': 'material', 'v': p_brand}, {'a': 'color', 'v': split_part(p_name, ' ', 1)}]) AS s FROM part), v AS (SELECT id, s.a AS attribute, s.v AS value FROM x),
+m AS (SELECT attribute, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY attribute) AS total, count(*) OVER (PARTITION BY attribute) AS kinds FROM v GROUP BY attribute, value),
+j AS (SELECT e.attribute AS given, e.value AS evidence, t.attribute AS target, t.value AS value, count(*) AS joint FROM v e JOIN v t ON e.id = t.id AND e.attribute <> t.attribute GROUP BY ALL),
+l AS (SELECT given, evidence, target, j.value, joint, g.n AS support, round((joint + 1.0) / (g.n + t.kinds), 6) AS posterior, round(((joint + 1.0) / (g.n + t.kinds)) / (t.n / t.total), 6) AS lift
+  FROM j JOIN m g ON g.attribute = given AND g.value = evidence JOIN m t ON t.attribute = target AND t.value = j.value WHERE g.n >= 50)"""
+
 
+def attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, attribute, value): type, brand and first name word of every part, in long form."""
+    named = (("category", F.col("p_type")), ("material", F.col("p_brand")), ("color", F.split("p_name", " ")[0]))
+    pairs = F.array(*(F.struct(F.lit(a).alias("attribute"), c.alias("value")) for a, c in named))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.inline(pairs))
 
-@query(f"WITH {_LIFT_SQL} SELECT *, row_number() OVER (PARTITION BY brand ORDER BY lift DESC, word)::INT AS rank, lift > 1.5 AS predicted FROM l")
+
+@query(f"WITH {_COOC_SQL} SELECT given, evidence, target, value, joint, support, posterior, lift FROM l")
 def cooccurrence_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much more likely a name word is given the brand, smoothed by one, for brands with enough parts."""
-    x = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.split("p_name", " ")[0].alias("word"))
-    m = x.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = m.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("kinds"))
-    s = x.groupBy("brand").agg(F.count(F.lit(1)).alias("support")).where("support >= 50")
-    j = x.groupBy("brand", "word").agg(F.count(F.lit(1)).alias("c"))
-    grid = s.crossJoin(m).crossJoin(F.broadcast(total)).join(j, ["brand", "word"], "left")  # vocabularies, not rows
-    posterior = (F.coalesce("c", F.lit(0)) + 1.0) / (F.col("support") + F.col("kinds"))
-    out = grid.select("brand", "word", F.coalesce("c", F.lit(0)).alias("joint"), F.round(posterior, 6).alias("posterior"), F.round(posterior / (F.col("n") / F.col("t")), 6).alias("lift"))
-    rank = F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("lift"), "word"))
-    return out.withColumn("rank", rank).withColumn("predicted", F.col("lift") > 1.5)
+    """For all ordered pairs of attributes: how much likelier a value is given another's, smoothed by one, where seen."""
+    return mt.cooccurrence(attribute_values(spark, sf_dir))
+
+
+@query(f"WITH {_COOC_SQL} SELECT given, evidence, target, CASE WHEN lift > 1.5 THEN value END AS predicted, lift FROM l QUALIFY row_number() OVER (PARTITION BY given, evidence, target ORDER BY lift DESC, value) = 1")
+def cooccurrence_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value with the best lift for each piece of evidence and target, if it lifts enough."""
+    return mt.predicted_values(mt.cooccurrence(attribute_values(spark, sf_dir)))
+
+
+@query(f"""WITH {_COOC_SQL}, w AS (SELECT v.id, c.value, count(*) AS k, sum(ln((coalesce(j.joint, 0) + 1.0) / (c.n + s.kinds))) + max(ln(c.n / c.total)) AS score FROM v JOIN (SELECT DISTINCT attribute, kinds FROM m) s USING (attribute) JOIN (SELECT value, n, total FROM m WHERE attribute = 'color') c ON true
+  LEFT JOIN j ON j.given = v.attribute AND j.evidence = v.value AND j.target = 'color' AND j.value = c.value JOIN m g ON g.attribute = v.attribute AND g.value = v.value AND g.n >= 50 WHERE v.attribute <> 'color' GROUP BY v.id, c.value),
+b AS (SELECT id, value AS guess, k FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, value) = 1)
+SELECT k, count(*) AS n, round(avg((b.guess = v.value)::INT), 6) AS accuracy FROM b JOIN v ON v.id = b.id AND v.attribute = 'color' GROUP BY k""")
+def naive_bayes_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's name word from its type and brand together: accuracy by how many of them have enough support."""
+    v = attribute_values(spark, sf_dir)
+    truth = v.where("attribute = 'color'").select("id", F.col("value").alias("truth"))
+    g = mt.naive_bayes(v, "color").join(truth, "id")
+    return g.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("guess") == F.col("truth")).cast("int")), 6).alias("accuracy"))
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id, ts::DATE AS d, event_type FROM events), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, d FROM u)), c AS (SELECT event_type, count(*) AS c FROM u GROUP BY ALL),
@@ -215,14 +321,18 @@ def field_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_brand AS key, p_type AS value, count(*) AS n FROM part GROUP BY ALL), k AS (SELECT key, sum(n) AS t, sum(n * (n - 1)) / 2 AS same FROM c GROUP BY key), v AS (SELECT value, sum(n) AS n FROM c GROUP BY value)
-SELECT sum(t * (t - 1) / 2)::BIGINT AS pairs, round(sum(same) / sum(t * (t - 1) / 2), 6) AS agreement, round((SELECT sum(n * (n - 1)) FROM v) / (sum(t) * (sum(t) - 1)), 6) AS baseline FROM k""")
+SELECT sum(t * (t - 1) / 2)::BIGINT AS pairs, round(sum(same) / sum(t * (t - 1) / 2), 6) AS agreement, round((SELECT sum(n * (n - 1)) FROM v) / (sum(t) * (sum(t) - 1)), 6) AS baseline,
+round(sqrt(((SELECT sum(n * (n - 1)) FROM v) / (sum(t) * (sum(t) - 1))) * (1 - (SELECT sum(n * (n - 1)) FROM v) / (sum(t) * (sum(t) - 1))) / sum(t * (t - 1) / 2)), 6) AS spread FROM k""")
 def pair_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often two parts of a brand share a type, against any two parts: from counts, without making pairs."""
+    """How often two parts of a brand share a type, against any two parts and the spread of as many random pairs: from counts."""
     c = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
     two = lambda x: F.col(x) * (F.col(x) - 1)
     k = c.groupBy("p_brand").agg(F.sum("n").alias("t"), F.sum(two("n")).alias("same"))
     v = c.groupBy("p_type").agg(F.sum("n").alias("m")).agg(F.sum(two("m")).alias("any_same"))
-    return k.agg((F.sum(two("t")) / 2).cast("long").alias("pairs"), F.round(F.sum("same") / F.sum(two("t")), 6).alias("agreement"), F.sum("t").alias("n")).crossJoin(F.broadcast(v)).select("pairs", "agreement", F.round(F.col("any_same") / two("n"), 6).alias("baseline"))
+    base = F.col("any_same") / two("n")
+    return k.agg((F.sum(two("t")) / 2).cast("long").alias("pairs"), F.round(F.sum("same") / F.sum(two("t")), 6).alias("agreement"), F.sum("t").alias("n")).crossJoin(F.broadcast(v)).select(
+        "pairs", "agreement", F.round(base, 6).alias("baseline"), F.round(F.sqrt(base * (1 - base) / F.col("pairs")), 6).alias("spread")
+    )
 
 
 @query("""SELECT lang, count(CASE WHEN quality = 1 AND p THEN 1 END) AS tp, count(CASE WHEN quality = 0 AND p THEN 1 END) AS fp, count(CASE WHEN quality = 1 AND NOT p THEN 1 END) AS fn, count(CASE WHEN quality = 0 AND NOT p THEN 1 END) AS tn,
@@ -233,21 +343,18 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.confusion(d, F.col("quality") == 1, F.col("n_chars") > 800, "lang")
 
 
-_THRESHOLDS = [(k, 200.0 * k) for k in range(1, 11)]
+_THRESHOLDS = [(k, t) for k, t in enumerate((0.0, 100.0, 200.0, 400.0, 600.0, 800.0, 1200.0, 2000.0))]
 
 
-@query(f"""WITH d AS (SELECT quality = 1 AS y, n_chars AS x FROM labels JOIN documents USING (doc_id)), t AS (SELECT * FROM {values(_THRESHOLDS, 'k, threshold')}),
-r AS (SELECT k, round(count(CASE WHEN y AND x > threshold THEN 1 END) / nullif(count(CASE WHEN x > threshold THEN 1 END), 0), 6) AS precision, round(count(CASE WHEN y AND x > threshold THEN 1 END) / nullif(count(CASE WHEN y THEN 1 END), 0), 6) AS recall FROM d, t GROUP BY k)
-SELECT *, row_number() OVER (ORDER BY precision + recall DESC NULLS LAST, k) = 1 AS chosen FROM r""")
+@query(f"""WITH d AS (SELECT CASE WHEN quality = 0 THEN 'answer' WHEN lang = 'en' THEN 'template' ELSE 'other' END AS pool, n_chars AS x FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL), t AS (SELECT * FROM {values(_THRESHOLDS, 'k, threshold')}),
+r AS (SELECT k, round(1 - count(CASE WHEN pool = 'answer' AND x > threshold THEN 1 END) / nullif(count(CASE WHEN pool = 'answer' THEN 1 END), 0), 6) AS precision, round(count(CASE WHEN pool = 'template' AND x > threshold THEN 1 END) / nullif(count(CASE WHEN pool = 'template' THEN 1 END), 0), 6) AS template_recall,
+  round(count(CASE WHEN pool = 'other' AND x > threshold THEN 1 END) / nullif(count(CASE WHEN pool = 'other' THEN 1 END), 0), 6) AS other_recall FROM d, t GROUP BY k)
+SELECT *, template_recall = 1 AND row_number() OVER (ORDER BY template_recall = 1 DESC, round(precision + other_recall, 9) DESC NULLS LAST, k) = 1 AS chosen FROM r""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every threshold in one pass over the rows, as columns; the best sum of precision and recall is chosen."""
-    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    y = F.col("quality") == 1
-    n = lambda c: F.count(F.when(c, 1)).cast("double")
-    each = [F.struct(F.lit(k).alias("k"), F.round(F.try_divide(n(y & (F.col("n_chars") > t)), n(F.col("n_chars") > t)), 6).alias("precision"), F.round(F.try_divide(n(y & (F.col("n_chars") > t)), n(y)), 6).alias("recall")) for k, t in _THRESHOLDS]
-    rows = d.agg(F.array(*each).alias("a")).select(F.inline("a"))
-    best = F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round(F.col("precision") + F.col("recall"), 9)), "k"))
-    return rows.withColumn("chosen", best == 1)
+    """Every threshold in one pass; of those that catch all templates the best sum of precision and other recall is chosen."""
+    d = table(spark, sf_dir, "labels").where("quality is not null").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    pool = F.when(F.col("quality") == 0, "answer").when(F.col("lang") == "en", "template").otherwise("other")
+    return mt.threshold_choice(d.select(pool.alias("pool"), F.col("n_chars").alias("value")), _THRESHOLDS)
 
 
 _EDGES = (0.0, 0.6, 0.75, 0.85, 0.95, 1.01)
@@ -274,6 +381,14 @@ def quartile_crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.groupBy(quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("p_size") <= 25).cast("int")), 6).alias("hit_rate"))
 
 
+@query("SELECT hit, count(*) AS n, median(size)::DOUBLE AS median FROM (SELECT p_size <= 25 AS hit, count(*) OVER (PARTITION BY p_type) AS size FROM part) GROUP BY hit")
+def crowding_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How crowded the types of hits and of misses are in the middle."""
+    p = table(spark, sf_dir, "part")
+    x = p.join(p.groupBy("p_type").agg(F.count(F.lit(1)).alias("size")), "p_type").select((F.col("p_size") <= 25).alias("hit"), "size")
+    return mt.medians(x, "size", "hit")
+
+
 @query("""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(n) AS n, round(avg(value), 1) AS mean, round(median(value), 1) AS p50, round(max(CASE WHEN i = CASE WHEN n >= 20 THEN floor(n * 0.95) ELSE n END THEN value END), 1) AS p95, round(max(value), 1) AS max FROM o GROUP BY event_type""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,35 +397,91 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("SELECT label, dim, round(avg(v), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding) AS v FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL")
+@query("SELECT label, dim, round(avg(v), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding) AS v FROM embeddings) GROUP BY ALL")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("dim", "v"))
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     return e.groupBy("label", "dim").agg(F.round(F.avg("v"), 6).alias("mean")).withColumn("dim", F.col("dim").cast("long"))
 
 
-@query("""WITH m AS (SELECT label, dim, avg(v) AS x FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id % 2 = 0) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY dim) AS c FROM m GROUP BY label),
-u AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c), s AS (SELECT vec_id, e.label AS truth, u.label AS guess, round(list_dot_product(embedding::DOUBLE[], c), 6) AS score FROM embeddings e, u WHERE vec_id % 2 = 1)
+@query("""WITH m AS (SELECT label, dim, avg(v) AS x FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY dim) AS c FROM m GROUP BY label),
+u AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c), s AS (SELECT vec_id, e.label AS truth, u.label AS guess, round(list_dot_product(embedding::DOUBLE[], c), 6) AS score FROM embeddings e, u)
 SELECT vec_id, truth, guess, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, guess) = 1""")
 def centroid_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd vectors by the nearest normalised mean of the even ones of each label."""
+    """Every vector by the nearest normalised mean of a label."""
     e = table(spark, sf_dir, "embeddings")
-    m = e.where("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("dim", "v")).groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("x"))
-    c = m.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("c"))
-    length = rt.norm(F.col("c"))
-    u = c.select(F.col("label").alias("guess"), F.transform("c", lambda x: x / F.nullif(length, F.lit(0.0))).alias("c"))  # one row a label
-    s = e.where("vec_id % 2 = 1").join(F.broadcast(u)).select("vec_id", F.col("label").alias("truth"), "guess", F.round(rt.dot(F.col("embedding"), F.col("c")), 6).alias("score"))
-    return rt.top_n(s, 1, F.desc("score"), F.col("guess"), key="vec_id").drop("rank")
+    return de.nearest_centroid(e.select("vec_id", F.col("label").alias("truth"), F.col("embedding").alias("v")), de.centroids(e.select("label", F.col("embedding").alias("v"))), "vec_id").select("vec_id", "truth", "guess", "score")
+
 
+#: Each label's prototypes: so many vectors with the lowest ids.
+_PROTOTYPES = 12
+_PROTO_SQL = f"p AS (SELECT vec_id AS pid, label, embedding::DOUBLE[] AS c FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= {_PROTOTYPES})"
+_TOP_SQL = f"""{_PROTO_SQL}, s AS (SELECT e.vec_id, p.label, list_dot_product(e.embedding::DOUBLE[], c) AS d FROM embeddings e, p),
+k AS (SELECT vec_id, label, d FROM s QUALIFY row_number() OVER (PARTITION BY vec_id, label ORDER BY d DESC) <= 4), t AS (SELECT vec_id, label, round(avg(d), 6) AS score FROM k GROUP BY ALL)"""
 
-@query("""WITH p AS (SELECT vec_id AS pid, label, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 100), s AS (SELECT e.vec_id, p.label, list_dot_product(e.embedding::DOUBLE[], c) AS d FROM embeddings e, p WHERE e.vec_id >= 100),
-k AS (SELECT vec_id, label, d FROM s QUALIFY row_number() OVER (PARTITION BY vec_id, label ORDER BY d DESC) <= 4) SELECT vec_id, label, round(avg(d), 6) AS score FROM k GROUP BY ALL""")
+
+def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, v): a declared number of prototypes for each label."""
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("v"))
+    return rt.top_n(e, _PROTOTYPES, F.col("vec_id"), key="label").select("label", "v")
+
+
+def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return de.prototype_scores(e, prototypes(spark, sf_dir))
+
+
+@query(f"WITH {_TOP_SQL} SELECT vec_id, label, score FROM t")
 def topk_proto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each vector and label, the mean of the four nearest prototypes."""
+    return similarities(spark, sf_dir)
+
+
+# The vectors' labels stand for utterance classes: buying, browsing, override, continuation, non-answer.
+_CLASSES = {"buying": 0, "browsing": 1, "override": 2, "continuation": 3, "non_answer": 4}
+
+
+@query("""WITH m AS (SELECT label, dim, avg(v) AS x FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IN (0, 1)) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY dim) AS c FROM m GROUP BY label),
+u AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c),
+s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT c FROM u WHERE label = 0)) - list_dot_product(embedding::DOUBLE[], (SELECT c FROM u WHERE label = 1)), 6) AS score FROM embeddings) SELECT vec_id, score, CASE WHEN score > 0 THEN 'buying' ELSE 'browsing' END AS label FROM s""")
+def intent_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buying or browsing by the difference of the similarities to two centroids."""
     e = table(spark, sf_dir, "embeddings")
-    p = e.where("vec_id < 100").groupBy("label").agg(F.collect_list("embedding").alias("ps"))  # a hundred prototypes at most
-    rest = e.where("vec_id >= 100").select("vec_id", "embedding")
-    sims = F.slice(F.sort_array(F.transform("ps", lambda c: rt.dot(F.col("embedding"), c)), asc=False), 1, 4)
-    return rest.join(F.broadcast(p)).select("vec_id", "label", F.round(F.aggregate(sims, F.lit(0.0), lambda a, x: a + x) / F.size(sims), 6).alias("score"))
+    protos = e.where(F.col("label").isin(_CLASSES["buying"], _CLASSES["browsing"])).select(F.when(F.col("label") == _CLASSES["buying"], "buying").otherwise("browsing").alias("label"), F.col("embedding").alias("v"))
+    return de.intent(e.select("vec_id", F.col("embedding").alias("v")), protos, "vec_id")
+
+
+@query(f"WITH {_TOP_SQL}, w AS (SELECT vec_id, max(CASE WHEN label = 2 THEN score END) AS o, max(CASE WHEN label IN (0, 1, 3) THEN score END) AS r, max(CASE WHEN label = 4 THEN score END) AS n FROM t GROUP BY vec_id) SELECT vec_id, o > r AS override, n > 0.68 AS non_answer FROM w")
+def detector_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Override: nearer to its prototypes than to those of any other kind of turn; non-answer: near enough to its own."""
+    s = similarities(spark, sf_dir)
+    name = F.create_map(*(x for k, v in _CLASSES.items() for x in (F.lit(v), F.lit(k))))
+    return de.votes(s.withColumn("label", F.try_element_at(name, F.col("label").cast("int"))).where("label is not null"), "vec_id")
+
+
+_RULES = (("centroid", 0), ("top", 1), ("top", 3), ("top", 4), ("top", 6), ("top", 12))
+
+
+@query(
+    f"""WITH {_PROTO_SQL}, s AS (SELECT e.vec_id, e.label AS truth, p.label, list_dot_product(e.embedding::DOUBLE[], c) AS d, row_number() OVER (PARTITION BY e.vec_id, p.label ORDER BY list_dot_product(e.embedding::DOUBLE[], c) DESC) AS i FROM embeddings e, p),
+m AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(v) AS x FROM (SELECT label, unnest(range(0, 64)) AS dim, unnest(c) AS v FROM p) GROUP BY ALL) GROUP BY label),
+z AS (SELECT 'centroid' AS rule, 0 AS k, vec_id, e.label AS truth, m.label, round(list_dot_product(embedding::DOUBLE[], c) / sqrt(list_dot_product(c, c)), 6) AS score FROM embeddings e, m
+  UNION ALL SELECT 'top', k, vec_id, truth, label, round(avg(d), 6) FROM s, (VALUES (1), (3), (4), (6), (12)) r(k) WHERE i <= k GROUP BY ALL),
+b AS (SELECT rule, k, truth, label FROM z QUALIFY row_number() OVER (PARTITION BY rule, k, vec_id ORDER BY score DESC, label) = 1)
+SELECT rule, k, count(*) AS n, round(avg((truth = label)::INT), 6) AS accuracy FROM b GROUP BY ALL"""
+)
+def rule_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest centroid against the mean of the nearest 1 to 12 prototypes: one job for all rules."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("truth"), F.col("embedding").alias("v"))
+    p = prototypes(spark, sf_dir)
+    out = None
+    for rule, k in _RULES:
+        if rule == "centroid":
+            scored = de.nearest_centroid(e, de.centroids(p), "vec_id")
+        else:
+            scored = rt.top_n(de.prototype_scores(e, p, k, ("vec_id", "truth")).withColumnRenamed("label", "guess"), 1, F.desc("score"), F.col("guess"), key="vec_id")
+        part = scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("guess")).cast("int")), 6).alias("accuracy")).select(F.lit(rule).alias("rule"), F.lit(k).alias("k"), "n", "accuracy")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS session FROM orders), c AS (SELECT o_custkey, value, count(*) AS n, min(session) AS first_seen FROM o GROUP BY ALL),
@@ -351,12 +522,12 @@ def prior_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("query_id", "doc_id", rank(F.desc("p_size"), "doc_id").alias("by_rating"), rank("gap", "doc_id").alias("by_closeness"))
 
 
-@query("""WITH h AS (SELECT user_id, len(list_distinct(list(event_type))) AS n FROM events GROUP BY ALL) SELECT n AS kinds, count(*) AS users, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM h GROUP BY n""")
+@query("""WITH h AS (SELECT user_id, len(list_distinct(list(event_type))) AS n FROM events GROUP BY ALL) SELECT n AS kinds, count(*) AS users, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(n * count(*)) OVER () / sum(count(*)) OVER (), 6) AS mean FROM h GROUP BY n""")
 def remaining_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"))
     n = h.groupBy("kinds").agg(F.count(F.lit(1)).alias("users"))
-    total = n.agg(F.sum("users").alias("t"))
-    return n.crossJoin(F.broadcast(total)).select("kinds", "users", F.round(F.col("users") / F.col("t"), 6).alias("share"))
+    total = n.agg(F.sum("users").alias("t"), F.sum(F.col("users") * F.col("kinds")).alias("all"))
+    return n.crossJoin(F.broadcast(total)).select("kinds", "users", F.round(F.col("users") / F.col("t"), 6).alias("share"), F.round(F.col("all") / F.col("t"), 6).alias("mean"))
 
 
 @query("""WITH a AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS x, max((event_type = 'purchase')::INT) AS hit FROM events WHERE ts::DATE <= DATE '2024-01-10' GROUP BY ALL), b AS (SELECT user_id, max((event_type = 'purchase')::INT) AS hit FROM events WHERE ts::DATE > DATE '2024-01-10' GROUP BY ALL)

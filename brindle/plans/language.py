@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions import extract as ex
 from ..functions import text as tx
+from ..functions.text import NOT_AFTER, NOT_BEFORE
 from ..functions import vocab
-from .registry import query, relation, table, values
+from .registry import _sql, query, relation, table, values
 
 MESSAGES = [
     (1, "I must have a red cotton shirt under $40"),
@@ -32,19 +33,70 @@ MESSAGES = [
 ]
 _M = values(MESSAGES, "id, text")
 
-# The SQL twins are for ASCII messages, so edges are spelled out for an engine without look-around.
-_L, _R = "(?:^|[^a-z0-9_])", "(?:$|[^a-z0-9_])"
+# Fixed turns of their own session that change the category.
+PIVOTS = [(-2, 1, "I want a small widget"), (-2, 2, "never mind, show me a gear instead"), (-2, 3, "Actually, ignore the gear. A red widget"), (-2, 4, "it's up to you, no preference"), (-2, 5, "forget that, blue gears and bolts")]
+
+# Word edges for an engine without look-around.
+_L, _R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern of the library with its look-arounds as edges that are consumed."""
+    return pattern.replace(NOT_BEFORE, _L).replace(NOT_AFTER, _R).replace("'", "''")
 
 
 def _has(col: str, pattern: str) -> str:
     return f"regexp_matches({col}, '{_L}(?:{pattern}){_R}')"
 
 
+def negated_sql(lead: str) -> str:
+    return f"regexp_matches(regexp_replace(right({lead}, {vocab.NEGATION_WINDOW}), '(?s)^.*(?:{_plain(ex.CLAUSE_END)})', ''), '{_plain(ex.NEGATION)}')"
+
+
+def asserted_sql(t: str, pattern: str) -> str:
+    """Whether some match of a word pattern is not negated: tried at every place where a word can begin."""
+    p = pattern.replace("'", "''")
+    at = f"regexp_matches(substr({t}, i), '^(?:{p}){_R}') AND (i = 1 OR regexp_matches(substr({t}, i - 1, 1), '[^\\p{{L}}\\p{{N}}_]')) AND NOT {negated_sql(f'left({t}, i - 1)')}"
+    return f"CASE WHEN {_has(t, p)} THEN len(list_filter(range(1, len({t}) + 1), lambda i: {at})) > 0 ELSE false END"
+
+
+def disclosed_sql(t: str, words) -> str:
+    lead = lambda w: f"regexp_extract({t}, '(?s)^(.*?{_L})(?:{w}){_R}', 1)"
+    return "CASE " + " ".join(f"WHEN {_has(t, w)} AND NOT {negated_sql(lead(w))} THEN '{w}'" for w in words) + " END"
+
+
+def detected_sql(t: str) -> str:
+    any_of = lambda words: "(" + " OR ".join(asserted_sql(t, w) for w in words) + ")"
+    flags = (("material", any_of(vocab.MESSAGE_MATERIALS)), ("color", any_of(vocab.COLORS)), ("size", f"regexp_matches({t}, '{_plain(ex.SIZE)}')"), ("budget", f"regexp_matches({t}, '{_plain(ex.PRICE)}')"))
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {f} THEN '{n}' END" for n, f in flags) + ")"
+
+
+def defer_sql(t: str) -> str:
+    return f"regexp_matches({t}, '{_plain(ex.DEFER_CUE)}')"
+
+
+def reply_sql(t: str) -> str:
+    return f"CASE WHEN trim({t}) = '' OR {detected_sql(t)} <> '' THEN 'answer' WHEN regexp_matches({t}, '{_plain(ex.DECLINE_CUE)}') THEN 'non_answer' ELSE 'answer' END"
+
+
+def override_sql(text: str) -> str:
+    return f"len(list_filter(regexp_split_to_array(lower({text}), '[.,;:!?]+'), lambda c: regexp_matches(c, '^\\s*(?:{_plain(ex.OVERRIDE_CUE)})'))) > 0"
+
+
 def messages(spark: SparkSession) -> DataFrame:
     return relation(spark, MESSAGES, "id int, text string")
 
 
-def _budget_sql(t: str = "t") -> str:
+#: Every turn of the conversations, and the messages as one of their own.
+_TURNS = f"(SELECT conv_id, turn, text, lower(coalesce(text, '')) AS t FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, id, text FROM {_M}))"
+
+
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = messages(spark).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("long").alias("turn"), "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(own)
+
+
+def budget_sql(t: str = "t") -> str:
     units = "one|two|three|four|five|six|seven|eight|nine"
     heads = "twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|" + units + "|" + "|".join(w for w, n in vocab.UNITS.items() if n > 9)
     word = rf"\b((?:{units})\s+hundred|hundred|{heads})(?:[\s-]+({units}))?\s*(?:dollars?|bucks?|usd)\b"
@@ -58,9 +110,9 @@ def _budget_sql(t: str = "t") -> str:
     return f"CASE WHEN {amount} IS NOT NULL THEN CASE WHEN {cue(vocab.NEGATED_FLOOR_CUES)} THEN '<=' WHEN {cue(vocab.FLOOR_CUES)} THEN '>=' ELSE '<=' END || printf('%g', {amount}) END"
 
 
-@query(f"SELECT id, {_budget_sql()} AS budget FROM (SELECT id, lower(text) AS t FROM {_M})")
+@query(f"SELECT conv_id, turn, {budget_sql()} AS budget FROM {_TURNS}")
 def budget_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark).select("id", ex.budget(F.col("text")).alias("budget"))
+    return all_turns(spark, sf_dir).select("conv_id", "turn", ex.budget(F.col("text")).alias("budget"))
 
 
 _BOUNDS = [("<=950",), (">=950",), ("<=900.5",), ("around 10",), (">=",)]
@@ -84,50 +136,42 @@ def attr_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", ex.vocab_value(F.col("p_name"), vocab.COLORS).alias("color"), ex.vocab_value(F.col("p_type"), vocab.CATALOG_MATERIALS).alias("material"))
 
 
-# For each message: color and material that it discloses, worked out by hand from the rule.
-DISCLOSED = {1: ("red", "cotton"), 3: ("navy", None), 4: (None, "leather"), 6: (None, "silk"), 8: ("gold", None), 12: ("black", None), 14: ("beige", None), 15: (None, "wool")}
-
-
-@query(f"SELECT m.id, color, material FROM {values([(m,) for m, _ in MESSAGES], 'id', 'm')} LEFT JOIN {values([(i, c, m) for i, (c, m) in DISCLOSED.items()], 'id, color, material', 'e')} USING (id)")
+@query(f"SELECT conv_id, turn, {disclosed_sql('t', vocab.COLORS)} AS color, {disclosed_sql('t', vocab.CATALOG_MATERIALS)} AS material FROM {_TURNS}")
 def disclosed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against values worked out by hand: negation needs look-back that the SQL engine's patterns lack."""
-    m = messages(spark)
-    return m.select("id", ex.disclosed_value(F.col("text"), vocab.COLORS).alias("color"), ex.disclosed_value(F.col("text"), vocab.CATALOG_MATERIALS).alias("material"))
+    text = F.col("text")
+    return all_turns(spark, sf_dir).select("conv_id", "turn", ex.disclosed_value(text, vocab.COLORS).alias("color"), ex.disclosed_value(text, vocab.CATALOG_MATERIALS).alias("material"))
 
 
-# Text, place of the match, and whether it is negated.
-NEGATIONS = [
-    ("i dont want black", 12, True), ("i don't want black", 13, True), ("i want black", 7, False), ("not picky. black", 11, False),
-    ("never mind i want white", 18, False), ("no leather", 3, True), ("nothing at all, but black", 20, False), ("not at all what i had in mind black", 30, False),
-    ("without any black", 12, True), ("print in black", 9, False),
-]
+# Windows of the negation rule that are compared.
+_WINDOWS = (10, 15, 20, 25, 30)
 
 
-@query(f"SELECT text, place, expected AS negated FROM {values(NEGATIONS, 'text, place, expected')}")
+@query(f"""WITH w AS (SELECT conv_id, turn, t, list_filter(range(2, len(t) + 1), lambda i: regexp_matches(substr(t, i, 1), '[\\p{{L}}\\p{{N}}_]') AND regexp_matches(substr(t, i - 1, 1), '[^\\p{{L}}\\p{{N}}_]')) AS starts FROM {_TURNS})
+SELECT conv_id, turn, len(starts) AS words, len(list_filter(starts, lambda i: {negated_sql('left(t, i - 1)')})) AS negated FROM w""")
 def negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, NEGATIONS, "text string, place int, expected boolean")
-    return rows.select("text", "place", ex.negated_before(F.substring(F.col("text"), F.lit(1), F.col("place"))).alias("negated"))
+    """How many of a turn's words (but one at its very beginning) are negated."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    places = ex.leads(low, F.lit(r"(?<=[^\p{L}\p{N}_])[\p{L}\p{N}_]+"))
+    turns = all_turns(spark, sf_dir).select("conv_id", "turn", places.alias("leads"))
+    return turns.select("conv_id", "turn", F.size("leads").cast("long").alias("words"), F.size(F.filter("leads", lambda x: ex.negated_before(x))).cast("long").alias("negated"))
 
 
-# Label, buying and browsing evidence worked out by hand.
-INTENT_TEXTS = [
-    (1, "I need it to be exactly red", "buying", 2, 0), (2, "still exploring, open to ideas", "browsing", 0, 2), (3, "shoes", "browsing", 0, 0),
-    (4, "not looking to buy yet", "browsing", 0, 0), (5, "must be black leather", "buying", 1, 0), (6, None, "browsing", 0, 0), (7, "whatever, with a size 9 fit", "browsing", 1, 1),
-]
+def _intent_sql(t: str) -> str:
+    hits = lambda ps: " + ".join(f"({asserted_sql(t, p)})::INT" for p in ps)
+    plain = lambda ws: " + ".join(f"({_has(t, w)})::INT" for w in ws)
+    buying = f"greatest({hits(ex.BUYING_PHRASES)}, {plain(vocab.COLORS)}, {plain(vocab.MESSAGE_MATERIALS)}, regexp_matches({t}, '{_plain(ex.SIZE)}')::INT, regexp_matches({t}, '{_plain(ex.PRICE)}')::INT)"
+    return f"{buying} AS buying, {hits(ex.BROWSING_PHRASES)} AS browsing"
 
 
-@query(f"SELECT id, label, buying, browsing FROM {values(INTENT_TEXTS, 'id, text, label, buying, browsing')}")
+@query(f"SELECT conv_id, turn, buying, browsing, CASE WHEN buying > browsing THEN 'buying' ELSE 'browsing' END AS label FROM (SELECT conv_id, turn, {_intent_sql('t')} FROM {_TURNS})")
 def lexical_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = relation(spark, INTENT_TEXTS, "id int, text string, label string, buying int, browsing int").select("id", ex.lexical_intent(F.col("text")).alias("i"))
-    return rows.select("id", "i.label", "i.buying", "i.browsing")
-
-
-_ATTRS = {1: ["material", "color", "budget"], 3: ["color"], 4: ["material", "size"], 6: ["material", "budget"], 8: ["color"], 12: ["color"], 14: ["color", "size"], 15: ["material", "budget"]}
+    rows = all_turns(spark, sf_dir).select("conv_id", "turn", ex.lexical_intent(F.col("text")).alias("i"))
+    return rows.select("conv_id", "turn", "i.label", "i.buying", "i.browsing")
 
 
-@query(f"SELECT m.id, coalesce(attributes, '') AS attributes FROM {values([(m,) for m, _ in MESSAGES], 'id', 'm')} LEFT JOIN {values([(i, ','.join(a)) for i, a in _ATTRS.items()], 'id, attributes', 'e')} USING (id)")
+@query(f"SELECT conv_id, turn, {detected_sql('t')} AS attributes FROM {_TURNS}")
 def detected_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark).select("id", F.array_join(ex.detected_attributes(F.col("text")), ",").alias("attributes"))
+    return all_turns(spark, sf_dir).select("conv_id", "turn", F.array_join(ex.detected_attributes(F.col("text")), ",").alias("attributes"))
 
 
 @query(
@@ -141,12 +185,9 @@ def reply_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(text.isNotNull()).select("conv_id", "turn", ex.override_cue(text).alias("override"), ex.defer_cue(text).alias("defer"), F.lower(text).rlike(ex.DECLINE_CUE).alias("decline"))
 
 
-_REPLIES = {5: "non_answer", 9: "non_answer", 13: "non_answer", 14: "answer", 12: "answer"}
-
-
-@query(f"SELECT m.id, coalesce(label, 'answer') AS label FROM {values([(m,) for m, _ in MESSAGES], 'id', 'm')} LEFT JOIN {values(list(_REPLIES.items()), 'id, label', 'e')} USING (id)")
+@query(f"SELECT conv_id, turn, {reply_sql('t')} AS label FROM {_TURNS}")
 def reply_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark).select("id", ex.reply_class(F.col("text")).alias("label"))
+    return all_turns(spark, sf_dir).select("conv_id", "turn", ex.reply_class(F.col("text")).alias("label"))
 
 
 @query(r"SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '^[^\n]{0,60}?[.,;:!?]\s') THEN regexp_extract(trim(text), '^([^\n]{0,60}?)[.,;:!?]\s', 1) ELSE text END AS lead FROM conversations")
@@ -154,26 +195,34 @@ def lead_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ex.lead_clause(F.col("text")).alias("lead"))
 
 
-def _spelling_sql() -> str:
-    out = "coalesce(text, '')"
+def spelling_sql(text: str = "coalesce(text, '')") -> str:
+    out = text
     for word, new in vocab.SPELLINGS.items():
         for pattern, form in ((word.upper(), new.upper()), (f"{word[0].upper()}(?i:{word[1:]})", new.capitalize()), (f"{word[0]}(?i:{word[1:]})", new)):
             out = f"regexp_replace({out}, '\\b{pattern}\\b', '{form}', 'g')"
     return out
 
 
-@query(f"SELECT id, {_spelling_sql()} AS text FROM {_M}")
+@query(f"SELECT conv_id, turn, {spelling_sql()} AS text FROM {_TURNS}")
 def normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark).select("id", tx.normalized_query(F.col("text")).alias("text"))
+    return all_turns(spark, sf_dir).select("conv_id", "turn", tx.normalized_query(F.col("text")).alias("text"))
 
 
 _CONSTRAINTS = [(s,) for s in ("budget around $12", "under 40", "100% Cotton fabric", "Color: red", "wide width", "Department: Mens", "good for hiking", "machine washable", "<= 9 wide", "sleeveless", "workwear")]
-_CLASS = ["budget", "budget", "material", "color", "size", "style", "use_case", "feature", "budget", "style", "use_case"]
 
 
-@query(f"SELECT value, kind FROM {values([(c[0], k) for c, k in zip(_CONSTRAINTS, _CLASS)], 'value, kind')}")
+def class_sql(c: str) -> str:
+    low = f"lower({c})"
+    any_of = lambda words: " OR ".join(f"contains({low}, '{w}')" for w in words)
+    each = " ".join(f"WHEN {any_of(words)} THEN '{kind}'" for kind, words in ex.CONSTRAINT_WORDS.items())
+    return f"CASE WHEN contains({low}, 'budget') OR regexp_matches({low}, '{ex.CONSTRAINT_PRICE}') THEN 'budget' {each} ELSE 'feature' END"
+
+
+@query(f"SELECT value, {class_sql('value')} AS kind, count(*) AS n FROM (SELECT value FROM {values(_CONSTRAINTS, 'value')} UNION ALL SELECT p_name FROM part UNION ALL SELECT lower(p_type) || ' under ' || p_size FROM part) GROUP BY value")
 def constraint_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, _CONSTRAINTS, "value string").select("value", ex.constraint_class(F.col("value")).alias("kind"))
+    p = table(spark, sf_dir, "part")
+    stated = relation(spark, _CONSTRAINTS, "value string").unionByName(p.select(F.col("p_name").alias("value"))).unionByName(p.select(F.concat(F.lower("p_type"), F.lit(" under "), F.col("p_size").cast("string")).alias("value")))
+    return stated.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select("value", ex.constraint_class(F.col("value")).alias("kind"), "n")
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(coalesce(p_name, '') || ' | ' || p_brand || ' | ' || p_type, '\s+', ' ', 'g')) AS passage, trim(p_name || ' ' || p_brand || ' ' || p_type) AS searchable,
@@ -209,10 +258,10 @@ def root_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("label", "n", F.round(share, 6).alias("share"), (share >= vocab.ROOT_SHARE).alias("is_root")).orderBy(F.desc("n"), "label").limit(1)
 
 
-@query("""WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) SELECT word, count(*) AS df FROM w WHERE regexp_full_match(word, '[a-z]+') GROUP BY word HAVING count(*) >= 20""")
+@query("""WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) SELECT word, count(*) AS df FROM w WHERE regexp_full_match(word, '[a-z]+') AND NOT list_contains(""" + _sql(list(vocab.DEMOGRAPHIC_WORDS)) + """, word) GROUP BY word HAVING count(*) >= 20""")
 def category_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word"))
-    return words.where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= vocab.CATEGORY_LEAST_DF)
+    return words.where(F.col("word").rlike("^[a-z]+$") & ~F.col("word").isin(*vocab.DEMOGRAPHIC_WORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= vocab.CATEGORY_LEAST_DF)
 
 
 _CARDS = [

@@ -26,7 +26,7 @@ class SessionProcessor(StatefulProcessor):
         state = json.loads(self.state.get()[0]) if self.state.exists() else sessions.fresh()
         out = []
         for row in pd.concat(list(rows)).sort_values("turn", kind="stable").to_dict("records"):
-            state = sessions.step(state, row)
+            state = sessions.step(state, row | {"categories": list(row["categories"])})
             out.append(sessions.view(state, row["session"], row["turn"]))
         self.state.update((json.dumps(state),))
         yield pd.DataFrame(out)
@@ -42,7 +42,7 @@ def live_sessions(turns: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """
     signals = sessions.turn_signals(turns)
     mode = "ProcessingTime" if idle_ms else "None"
-    return signals.groupBy("session").transformWithStateInPandas(SessionProcessor(idle_ms), sessions.FOLDED, "Append", mode)
+    return sessions.spelled(signals.groupBy("session").transformWithStateInPandas(SessionProcessor(idle_ms), sessions.FOLDED, "Append", mode))
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import extract as ex
 from brindle.functions import text as tx
-from brindle.operators import index, metrics, policy, retrieval, sessions
+from brindle.operators import detectors, index, metrics, policy, retrieval, sessions
 from brindle.plans.analytics import chat_turns
 
 
@@ -50,9 +50,10 @@ def test_short_token_lists_have_no_grams(spark):
     assert one(spark, "the of", lambda c: tx.query_grams(tx.phrase_tokens(c))) == []
 
 
-def test_built_query_keeps_the_newest(spark):
+def test_built_query_has_a_limit(spark):
     row = spark.createDataFrame([("first", ["aaaa", "bbbb"])], "f string, r array<string>")
-    assert row.select(tx.built_query(F.col("f"), F.col("r"), 10)).first()[0] == "first bbbb"
+    assert row.select(tx.built_query(F.col("f"), F.col("r"), 10)).first()[0] == "first aaaa"
+    assert row.select(tx.built_query(F.col("f"), F.col("r"), 8)).first()[0] == "first aa"
     assert row.select(tx.built_query(F.col("f"), F.col("r"), 2000)).first()[0] == "first aaaa bbbb"
     assert row.select(tx.retracted(F.lit("Red shoe, red hat, redder"), F.lit("red"))).first()[0] == "shoe, hat, redder"
 
@@ -202,5 +203,72 @@ def test_sizes(spark, text, want):
 
 def test_fold_equals_its_native_twin(spark, sf):
     signals = sessions.turn_signals(chat_turns(spark, sf)).cache()
-    key = lambda df: sorted(map(tuple, df.select("session", "turn", "segment", "query", "boundary", "color", "material", "budget", "informative").collect()))
+    key = lambda df: sorted(map(tuple, df.select("session", "turn", "segment", "boundary", "color", "material", "budget", "informative").collect()))
     assert key(sessions.fold(signals)) == key(sessions.fold_native(signals))
+
+
+def told(text, turn=1, override=False, contentless=False, defer=False, categories=(), **slots):
+    return {"text": text, "turn": turn, "override": override, "contentless": contentless, "defer": defer, "categories": list(categories), **{k: slots.get(k) for k in sessions.SLOTS}}
+
+
+def test_an_override_keeps_the_query_unless_it_names_a_new_category():
+    state = sessions.step(sessions.fresh(), told("shoes please", categories=["shoes"], color="red"))
+    state = sessions.step(state, told("leather ones", 2, material="leather"))
+    same = sessions.step(state, told("never mind, white shoes", 3, override=True, categories=["shoes"], color="white"))
+    assert same["first"]["text"] == "shoes please" and [m["text"] for m in same["recent"]] == ["leather ones", "never mind, white shoes"]
+    assert same["slots"] == {"color": "white"} and same["segment"] == 1 and same["informative"] == ["never mind, white shoes"]
+    other = sessions.step(state, told("forget that, hats", 3, override=True, categories=["hats"]))
+    assert other["first"]["text"] == "forget that, hats" and [m["text"] for m in other["recent"]] == ["forget that, hats"] and other["slots"] == {}
+
+
+def test_a_scoped_override_retracts_only_what_it_replaces():
+    state = sessions.step(sessions.fresh(), told("red leather shoes", categories=["shoes"], color="red", material="leather"))
+    state = sessions.step(state, told("never mind, blue", 2, override=True, color="blue"), scoped=True)
+    assert state["slots"] == {"material": "leather", "color": "blue"} and state["retracted"] == ["red"] and state["segment"] == 0
+    assert sessions.view(state, 1, 2)["query"] == "leather shoes never mind, blue"
+    state = sessions.step(state, told("red after all", 3, color="red"), scoped=True)
+    assert state["retracted"] == [] and state["slots"]["color"] == "red"
+
+
+def test_boundary_needs_a_contentless_hand_back_and_contentless_turns_are_no_query():
+    state = sessions.step(sessions.fresh(), told("shoes"))
+    assert not sessions.step(state, told("up to you but black", 2, defer=True))["boundary"]
+    after = sessions.step(state, told("up to you", 2, contentless=True, defer=True))
+    assert after["boundary"] and after["recent"] == [] and sessions.view(after, 1, 2)["query"] == "shoes"
+
+
+def test_simulated_customers_are_read_as_they_are_meant(spark):
+    """The customer's fixed phrases are what the cue classifiers recognise."""
+    rows = [(1, "boundary", "hat", ["cotton"], []), (2, "intent_override", "hat", ["cotton", "size 4"], ["color: red"])]
+    c = spark.createDataFrame(rows, "session long, kind string, category string, hard array<string>, soft array<string>")
+    log = sessions.simulate(c, ["material", "material", "material", "material"], turn_of=F.lit(3))
+    got = {(r.session, r.turn): r for r in log.select("*", ex.reply_class(F.col("message")).alias("reply"), ex.defer_cue(F.col("message")).alias("defer"), ex.override_cue(F.col("message")).alias("override")).collect()}
+    assert got[1, 2].reply == "non_answer" and got[1, 2].defer and got[1, 3].message == "For that, what matters is: cotton." and got[1, 4].reply == "non_answer" and not got[1, 4].defer
+    assert got[2, 1].message == "I'm looking for hat. color: red" and not got[2, 2].overridden and got[2, 3].overridden and got[2, 3].message == "Actually, ignore my earlier preference. What I need is: cotton."
+    assert got[2, 4].n_told == 0 and got[2, 4].message == "I don't have an additional preference for material."
+
+
+def test_detectors_with_an_injected_encoder(spark):
+    classes = ["buying", "browsing", "override", "continuation", "non_answer"]
+    words = {"buy": 0, "browse": 1, "pivot": 2, "also": 3, "whatever": 4}
+
+    def encoder(batch: pd.Series) -> pd.Series:
+        def one(text):
+            v = [0.0] * 5
+            for w, k in words.items():
+                v[k] += float(w in text)
+            n = sum(x * x for x in v) ** 0.5
+            return [x / n if n else 0.0 for x in v]
+
+        return batch.map(one)
+
+    def broken(batch: pd.Series) -> pd.Series:
+        raise OSError("no model")
+
+    protos = spark.createDataFrame([(c, [1.0 if i == k else 0.0 for i in range(5)]) for k, c in enumerate(classes) for _ in range(3)], "label string, v array<double>")
+    rows = [(1, "pivot now"), (2, "pivot. also and also this buy"), (3, "whatever"), (4, "whatever, in black"), (5, "never mind"), (6, ""), (7, None), (8, "also"), (9, "it doesn't matter")]
+    turns = spark.createDataFrame(rows, "turn_id long, text string")
+    got = {r.turn_id: (r.override, r.non_answer) for r in detectors.detected(turns, protos, encoder).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, False), 5: (True, False), 6: (False, False), 7: (False, False), 8: (False, False), 9: (False, False)}
+    plain = {r.turn_id: (r.override, r.non_answer) for r in detectors.detected(turns, protos, broken).collect()}
+    assert plain[1] == (False, False) and plain[5] == (True, False) and plain[9] == (False, True)
