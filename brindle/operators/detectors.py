@@ -108,3 +108,34 @@ def detected(turns: DataFrame, prototypes: DataFrame, encoder: Callable[[pd.Seri
     override = ~F.col("blank") & (F.col("cue") | F.coalesce("override", F.lit(False)))
     non_answer = ~F.col("blank") & ~F.col("veto") & F.coalesce("non_answer", "lexical")
     return both.select(key, override.alias("override"), non_answer.alias("non_answer"))
+
+
+def folded_accuracy(rows: DataFrame, key: str) -> DataFrame:
+    """(fold, n, accuracy) of nearest centroids on (key, truth, v, fold), each fold judged by the means of the others.
+
+    The sums of all folds less a fold's own give its means, so the vectors are read once.
+    """
+    s = rows.select("fold", F.col("truth").alias("label"), F.posexplode("v").alias("dim", "x")).groupBy("fold", "label", "dim").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    whole = s.groupBy("label", "dim").agg(F.sum("x").alias("all"))
+    folds = rows.select("fold").distinct()  # a fixed number
+    rest = whole.crossJoin(F.broadcast(folds)).join(s, ["fold", "label", "dim"], "left").withColumn("x", F.col("all") - F.coalesce("x", F.lit(0.0)))
+    c = rest.groupBy("fold", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda t: t["x"]).alias("c"))
+    score = F.round(F.try_divide(dot(F.col("v"), F.col("c")), norm(F.col("c"))), 6)
+    judged = rows.join(_small(c.withColumnRenamed("label", "guess")), "fold").withColumn("score", score)
+    best = top_n(judged, 1, F.desc("score"), F.col("guess"), key=key)
+    return best.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("truth") == F.col("guess")).cast("int")), 6).alias("accuracy"))
+
+
+def logistic_head(rows: DataFrame, strengths: list[float]) -> DataFrame:
+    """(c, n, accuracy) of logistic regressions on (y, v, held_out) for inverse regularisations ``c``, judged on the held-out rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select("held_out", F.col("y").cast("double").alias("label"), array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    out = None
+    for c in strengths:
+        model = LogisticRegression(regParam=1.0 / c, maxIter=50).fit(data.where(~F.col("held_out")))
+        judged = model.transform(data.where("held_out"))
+        part = judged.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("int")), 6).alias("accuracy")).select(F.lit(c).alias("c"), "n", "accuracy")
+        out = part if out is None else out.unionByName(part)
+    return out
