@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,39 @@ def scored_report(rates: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(0.5 * F.col("hit_rate") + 0.3 * F.col("mrr") + 0.2 * F.col("efficiency"), 6))
 
 
+def evaluated(results: DataFrame, truth: DataFrame, settings: DataFrame) -> DataFrame:
+    """(setting, hit_rate, mrr, delta) of ranked (setting, query_id, doc_id, rank) against (query_id, doc_id).
+
+    Every query that has something to find counts under every setting (a fixed list); ``delta`` is
+    the gain in reciprocal rank over the first setting.
+    """
+    best = results.join(truth, ["query_id", "doc_id"]).groupBy("setting", "query_id").agg(F.min("rank").alias("r"))
+    asked = truth.select("query_id").distinct().crossJoin(F.broadcast(settings.select("setting")))
+    joined = asked.join(best, ["setting", "query_id"], "left")
+    m = joined.groupBy("setting").agg(F.round(F.avg(F.col("r").isNotNull().cast("int")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
+    return m.select("setting", "hit_rate", "mrr", F.round(F.col("mrr") - F.first("mrr").over(Window.orderBy("setting")), 6).alias("delta"))
+
+
+def coordinate_descent(evaluate: Callable[[list[list[float]]], list[float]], start: list[float], factors: tuple[float, ...] = (0.5, 2.0)) -> tuple[list[float], list[tuple[list[float], float]]]:
+    """The weights reached from ``start`` by trying every factor on every coordinate in turn, keeping strict gains.
+
+    ``evaluate`` scores a list of settings in one job; a coordinate's factors are tried together, so
+    the driver makes one job a coordinate.  A weight of 0 cannot be scaled and is passed over.
+    """
+    (best,) = evaluate([start])
+    log = [(list(start), best)]
+    for k, w in enumerate(start):
+        if not w:
+            continue
+        tries = [start[:k] + [start[k] * f] + start[k + 1 :] for f in factors]
+        scores = evaluate(tries)
+        log += list(zip(tries, scores))
+        top = max(range(len(tries)), key=lambda i: scores[i])
+        if scores[top] > best:
+            best, start = scores[top], tries[top]
+    return start, log
+
+
 def confusion(rows: DataFrame, truth: Column, predicted: Column, *keys: str) -> DataFrame:
     """Counts, recall, false-positive rate and precision (null where undefined)."""
     n = lambda c: F.count(F.when(c, 1))

@@ -158,6 +158,18 @@ def reranked(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Seri
     return head.unionByName(tail).select("query_id", "doc_id", final.alias("rank"))
 
 
+def reranked_grid(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], grid: DataFrame, deepest: int) -> DataFrame:
+    """(setting, query_id, doc_id, rank) of ``reranked`` for a short table of settings (setting, weight, depth); pairs are scored once."""
+    head = ranked.where(F.col("rank") <= deepest).withColumn("model", F.pandas_udf(scorer, "double")("query", "document"))
+    rows = head.select("query_id", "doc_id", "rank", "model").unionByName(ranked.where(F.col("rank") > deepest).select("query_id", "doc_id", "rank", F.lit(None).cast("double").alias("model")))
+    each = rows.crossJoin(F.broadcast(grid))  # a fixed list of settings
+    inside = F.col("rank") <= F.col("depth")
+    again = F.row_number().over(Window.partitionBy("setting", "query_id", inside).orderBy(F.desc_nulls_last("model"), "rank"))
+    value = F.when(inside, F.round(1.0 / (vocab.RRF_K + F.col("rank")) + F.col("weight") / (vocab.RRF_K + F.col("again")), 9))
+    final = F.row_number().over(Window.partitionBy("setting", "query_id").orderBy(F.desc_nulls_last("value"), "rank"))
+    return each.withColumn("again", again).withColumn("value", value).select("setting", "query_id", "doc_id", final.alias("rank"))
+
+
 def diversified(pool: DataFrame, k: int, trade: float, window: int = 40, pinned: int = 3, within: bool = True) -> DataFrame:
     """Greedy maximal marginal relevance on (query_id, doc_id, rank, vector, repel).
 

@@ -175,6 +175,13 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.fused(two_legs(spark, sf_dir), [2.0, 2.0], 10)
 
 
+TRUTH_SQL = ", truth AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
+#: Evaluation of ``fused`` under the settings of ``grid`` against ``truth``.
+EVAL_SQL = """best AS (SELECT setting, query_id, min(rank) AS r FROM fused JOIN truth USING (query_id, doc_id) GROUP BY ALL),
+  q AS (SELECT DISTINCT setting, query_id FROM (SELECT DISTINCT setting FROM grid), (SELECT DISTINCT query_id FROM truth)),
+  m AS (SELECT setting, round(avg((r IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM q LEFT JOIN best USING (setting, query_id) GROUP BY ALL)
+  SELECT setting, hit_rate, mrr, round(mrr - first_value(mrr) OVER (ORDER BY setting), 6) AS delta FROM m"""
+
 _GRID = [(s, leg, w) for s, w in enumerate((0.0, 0.5, 1.0, 2.0, 4.0)) for leg, w in ((0, 2.0), (1, w))]
 
 
@@ -182,11 +189,7 @@ _GRID = [(s, leg, w) for s, w in enumerate((0.0, 0.5, 1.0, 2.0, 4.0)) for leg, w
     f"WITH {CORPUS_SQL}, {TERMS_SQL}, {_bm25_sql('qterm', 50, 'bm')}, {_GRAM_SQL.replace('{n}', '50')}, {_LEGS_SQL},"
     f" grid AS (SELECT * FROM {values(_GRID, 'setting, leg, w', 'g')}), weighed AS (SELECT * FROM legs JOIN grid USING (leg)),"
     + _FUSE_SQL.format(keys="setting, ", legs="weighed", n=10)
-    + """, truth AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
-  best AS (SELECT setting, query_id, min(rank) AS r FROM fused JOIN truth USING (query_id, doc_id) GROUP BY ALL),
-  q AS (SELECT DISTINCT setting, query_id FROM (SELECT DISTINCT setting FROM grid), (SELECT DISTINCT query_id FROM truth)),
-  m AS (SELECT setting, round(avg((r IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM q LEFT JOIN best USING (setting, query_id) GROUP BY ALL)
-  SELECT setting, hit_rate, mrr, round(mrr - first_value(mrr) OVER (ORDER BY setting), 6) AS delta FROM m"""
+    + f" {TRUTH_SQL}, {EVAL_SQL}"
 )
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase weights 0 to 4 evaluated in one job: the grid is a table joined to the legs."""
@@ -194,12 +197,7 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = relation(spark, _GRID, "setting int, leg int, weight double")
     results = rt.fused(legs, grid, 10, ("setting", "query_id"))
     truth = sought(spark, sf_dir)
-    best = results.join(truth, ["query_id", "doc_id"]).groupBy("setting", "query_id").agg(F.min("rank").alias("r"))
-    asked = grid.select("setting").distinct().crossJoin(truth.select("query_id").distinct())  # settings are a fixed list
-    joined = asked.join(best, ["setting", "query_id"], "left")
-    m = joined.groupBy("setting").agg(F.round(F.avg(F.col("r").isNotNull().cast("int")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
-    first = F.first("mrr").over(Window.orderBy("setting"))
-    return m.select("setting", "hit_rate", "mrr", F.round(F.col("mrr") - first, 6).alias("delta"))
+    return mt.evaluated(results, truth, grid.select("setting").distinct())
 
 
 _PROBE_SQL = (
