@@ -33,15 +33,18 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import LOWER, NOT_SPACE, mix, pairs, slices, span_hash, word_bounds
-from .shared import checkpointed, text_or_empty, written
+from .shared import checkpointed, shuffle_width, text_or_empty, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-5
-#: Nodes and shingles of a block at most, and shingles of small neighbourhoods that share a task.
-BLOCK_NODES, BLOCK_SHINGLES, TASK_SHINGLES = 256, 400_000, 1_000_000
+#: Nodes and shingles of a block at most, and those of small neighbourhoods that share a task.
+BLOCK_NODES, BLOCK_SHINGLES = 256, 400_000
+TASK_NODES, TASK_SHINGLES = 512, 400_000
+#: Tasks of small neighbourhoods for each shuffle partition at least, so that chance evens them out.
+TASKS_A_PARTITION = 4
 
 _SEED = np.random.default_rng(20240229)
 _FACTORS = _SEED.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,8 +231,9 @@ def block_rows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp")
     placed = checkpointed(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    total = placed.agg(F.sum("n").alias("n")).first()["n"] or 0
-    tasks = int(max(1, total // TASK_SHINGLES))
+    total = placed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes")).first()
+    least = TASKS_A_PARTITION * shuffle_width(docs.sparkSession)
+    tasks = int(max(least, total["nodes"] // TASK_NODES, (total["n"] or 0) // TASK_SHINGLES))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     each = texts.join(placed, F.col("id") == F.col("node")).withColumn("other", other)
@@ -264,11 +268,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class only, that of the smallest id (a null id last).
 
-    Rows are told apart by a key of their own, as ids may be null or repeated.
+    Rows are told apart by a key of their own, as ids may be null or repeated, and carried whole in
+    one column, so their names cannot clash with any of ours.
     """
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    classes = near_duplicates(keyed, "__row", text_col, **options)
-    ids = keyed.select(F.col("__row").alias("__of"), F.col(id_col).alias("__id"))
-    order = F.struct(F.col("__id").isNull(), "__id", "__row")
-    first = classes.join(ids, F.col("__row") == F.col("__of")).groupBy("component_id").agg(F.min(order).alias("__first"))
-    return keyed.join(first.select(F.col("__first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")), "rows")
+    own = keyed.select("key", F.col("row")[id_col].alias("id"), F.col("row")[text_col].alias("text"))
+    classes = near_duplicates(own, "key", "text", **options).select(F.col("key").alias("of"), "component_id")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    first = classes.join(own.select("key", "id"), F.col("of") == F.col("key")).groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").select("row.*")
