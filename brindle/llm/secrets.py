@@ -51,8 +51,8 @@ MORE_RULES = (
     Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1, r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
-#: Keys over which the paths of a blob are dealt, and code points of a text that are cut at once.
-SALTS, CHUNK = 32, 4096
+#: Keys over which the paths and the copies of a blob are dealt, and code points of a text that are cut at once.
+SALTS, TEXT_SALTS, CHUNK = 32, 8, 4096
 
 PAIRS = "blob binary, kind string, version int"
 FINDINGS = "blob binary, kind string, version int, start long, end long"
@@ -114,7 +114,8 @@ def unseen(versions: DataFrame, text_col: str = "text", pairs: DataFrame | None
     """(blob, text, todo), once for each blob that some rule version has not scanned.
 
     With a ledger, what is left to do is found on addresses alone; only then are texts fetched, and
-    if few blobs are new, adaptive execution sends their addresses out instead of moving texts.
+    if few blobs are new, adaptive execution sends their addresses out instead of moving texts.  The
+    copies of a blob meet its address under TEXT_SALTS keys.
     """
     text = text_or_empty(text_col)
     contents = versions.select(blob_address(text).alias("blob"), text.alias("text"))
@@ -124,7 +125,9 @@ def unseen(versions: DataFrame, text_col: str = "text", pairs: DataFrame | None
     done = pairs.where(_current(rules)).groupBy("blob").agg(F.collect_set("kind").alias("done"))
     left = contents.select("blob").distinct().join(done, "blob", "left")
     left = left.select("blob", F.when(F.col("done").isNull(), todo).otherwise(F.array_except(todo, "done")).alias("todo")).where(F.size("todo") > 0)
-    return contents.join(left, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TEXT_SALTS - 1))))
+    contents = contents.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(TEXT_SALTS)).cast("int"))
+    return contents.join(left, ["blob", "salt"]).groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
 
 def update(versions: DataFrame, text_col: str = "text", pairs: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
