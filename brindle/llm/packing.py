@@ -37,7 +37,7 @@ from .shared import text_or_empty
 from .tokens import END_ID, TOKENIZER, ended_rows
 
 CAPACITIES = (512, 1024, 2048, 4096)
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 REPEATS = 1000
 
 

@@ -37,8 +37,10 @@ from .shared import shuffle_width, text_or_empty
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 1_000_000
-_SLOT_BITS = 21
+REMEMBERED = 400_000
+_SLOT_BITS = 20
+#: Bytes of text that are encoded at once.
+_SLICE = 1 << 19
 #: Pieces of up to so many bytes are looked up in the table.
 _SHORT = 24
 
@@ -287,7 +289,7 @@ def worker_encoder(tokenizer: str) -> Encoder:
 def ended_rows(column: pa.Array, tokenizer: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows ``[a, b)`` of a string column with their numbers of ids and all ids, each row's end id included."""
     encoder = worker_encoder(tokenizer)
-    for a, b, buf, off in slices(column):
+    for a, b, buf, off in slices(column, _SLICE):
         ids, count = encoder.rows(buf, off)
         ends = np.cumsum(count + 1)
         flat = np.empty(ends[-1], np.int32)
