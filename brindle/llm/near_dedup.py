@@ -3,14 +3,18 @@
 1. One pass makes for every text the number of its distinct shingles, a key of its word sequence,
    and ``BANDS`` keys of ``ROWS`` minima each.  Equal word sequences are one node from here on.
 2. Nodes that share a band key are candidates.  Each key links its nodes to the smallest one, a
-   star with one edge less than nodes, never all pairs; the components of these edges are
-   neighbourhoods: any two candidates are in the same one.
-3. The texts of neighbourhoods of two nodes or more are dealt into blocks of bounded size.  Each
-   pair of blocks (most neighbourhoods are one block) compares its candidates: signature batches
-   one after another, leaving out a pair as soon as the posterior chance that its similarity reaches
-   the threshold is below MISS; survivors are counted exactly on their full shingle sets.  A pair
-   already linked within the task by way of others needs no check.  What a task returns is a forest.
-4. The components of those forests are the classes.
+   star with one edge less than nodes, never all pairs.
+3. Every node is first compared with one head only, that with which it shares most keys, and what
+   is linked is joined.  Keys whose nodes are then all of one class hold nothing more to find.
+4. The components of the stars of the other keys are neighbourhoods: any two candidates that are not
+   joined yet are in the same one.  Their texts are dealt into blocks of bounded size, and each pair
+   of blocks (most neighbourhoods are one block) compares its candidates of different classes.
+5. The components of all links are the classes.
+
+Candidates are compared by signature batches one after another, leaving out a pair as soon as the
+posterior chance that its similarity reaches the threshold is below MISS; survivors are counted
+exactly on their full shingle sets.  A pair already linked by way of others needs no check.  What a
+task returns is a forest.
 
 A candidate pair meets all of its band keys with probability 1 - (1 - s**ROWS)**BANDS, which is
 0.999997 at the threshold itself.  Nothing is capped: a large neighbourhood becomes more block pairs.
@@ -28,7 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,6 +47,8 @@ MISS = 1e-5
 #: Nodes and shingles of a block at most, and those of small neighbourhoods that share a task.
 BLOCK_NODES, BLOCK_SHINGLES = 256, 400_000
 TASK_NODES, TASK_SHINGLES = 512, 400_000
+#: Nodes that one task compares with a head at most.
+STAR_NODES = 32
 #: Tasks of small neighbourhoods for each shuffle partition at least, so that chance evens them out.
 TASKS_A_PARTITION = 4
 
@@ -153,15 +159,15 @@ def least_agreements(threshold: float, miss: float = MISS) -> list[int]:
 class Block:
     """Nodes of one task with their sets and signatures."""
 
-    def __init__(self, ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sig: np.ndarray):
-        self.ids, self.side, self.sets, self.sig = ids, side, sets, sig
+    def __init__(self, ids: np.ndarray, side: np.ndarray, joined: np.ndarray, sets: list[np.ndarray], sig: np.ndarray):
+        self.ids, self.side, self.joined, self.sets, self.sig = ids, side, joined, sets, sig
         self.size = np.array([len(s) for s in sets])
         self.bands = band_keys(sig)
 
     def forest(self, threshold: int) -> list[tuple[int, int]]:
         """Links that join all candidates at the threshold: pairs of different sides, or any if all are on one."""
         least = least_agreements(threshold / 100)
-        root = np.arange(len(self.ids))
+        root = np.unique(self.joined, return_inverse=True)[1]
         both = len(np.unique(self.side)) > 1
         out = []
         for x in range(len(self.ids) - 1):
@@ -197,7 +203,7 @@ class Block:
 
 
 def verify(table: pa.Table, size: int, threshold: int) -> pa.Table:
-    """The forests of all block pairs in a task's rows (grp, i, j, side, id, text)."""
+    """The forests of all block pairs in a task's rows (grp, i, j, side, id, joined, text)."""
     table = table.sort_by([(c, "ascending") for c in ("grp", "i", "j", "side", "id")])
     sets, sigs, full = [], [], []
     for _, _, buf, off in slices(table["text"]):
@@ -209,35 +215,66 @@ def verify(table: pa.Table, size: int, threshold: int) -> pa.Table:
     sig, full = np.concatenate(sigs), np.concatenate(full)
     # an id of several texts may also have one without shingles
     key = np.stack([table[c].to_numpy()[full] for c in ("grp", "i", "j")])
-    ids, side = table["id"].to_numpy()[full], table["side"].to_numpy()[full]
+    ids, side, joined = (table[c].to_numpy()[full] for c in ("id", "side", "joined"))
     cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
     out = []
     for a, b in zip(cut[:-1], cut[1:]):
-        out += Block(ids[a:b], side[a:b], sets[a:b], sig[a:b]).forest(threshold)
+        out += Block(ids[a:b], side[a:b], joined[a:b], sets[a:b], sig[a:b]).forest(threshold)
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def neighbourhoods(nodes: DataFrame) -> DataFrame:
-    """(node, grp) of nodes that share a band key with another; ``nodes`` has (node, bands)."""
+def collisions(nodes: DataFrame) -> DataFrame:
+    """(key, node, head) for the band keys of different nodes, with their smallest node; ``nodes`` has (node, bands)."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    heads = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    stars = keys.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    return components(stars).select("node", F.col("root").alias("grp"))
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
+    return keys.join(heads, "key")
 
 
-def block_rows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(task, grp, i, j, side, id, text): the texts that each task compares; ``members`` has (node, grp, n)."""
+def nearest_heads(met: DataFrame) -> DataFrame:
+    """(node, head): of the heads of a node's keys the one that it shares most of them with."""
+    shared = met.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("keys"))
+    return shared.groupBy("node").agg(F.min_by("head", F.struct(-F.col("keys"), "head")).alias("head"))
+
+
+def open_neighbourhoods(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, grp, joined) of the nodes that share a key with one of another class; ``joined`` has (node, root)."""
+    classed = met.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("joined"))
+    classed = checkpointed(classed)
+    mixed = classed.groupBy("key").agg(F.min("joined").alias("low"), F.max("joined").alias("high"), F.min("node").alias("a")).where("low < high")
+    rest = checkpointed(classed.join(mixed.select("key", "a"), "key"))
+    groups = components(rest.select("a", F.col("node").alias("b")))
+    return groups.select("node", F.col("root").alias("grp")).join(rest.select("node", "joined").distinct(), "node")
+
+
+def _tasks(spark: SparkSession, placed: DataFrame) -> int:
+    """How many tasks small groups are dealt over; ``placed`` has the size ``n`` of every node."""
+    total = placed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes")).first()
+    least = TASKS_A_PARTITION * shuffle_width(spark)
+    return int(max(least, total["nodes"] // TASK_NODES, (total["n"] or 0) // TASK_SHINGLES))
+
+
+def star_rows(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """(task, grp, i, j, side, id, joined, text): a head and some of its nodes for each (grp, i); ``stars`` has (node, head, n)."""
+    sizes = stars.groupBy("head").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("all"))
+    parts = F.greatest(F.ceil(F.col("nodes") / STAR_NODES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    placed = checkpointed(stars.join(sizes, "head").select("node", "n", F.col("head").alias("grp"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("i")))
+    tasks = _tasks(stars.sparkSession, placed)
+    heads = placed.select(F.col("grp").alias("node"), "grp", "i").distinct()
+    rows = placed.select("node", "grp", "i", F.lit(1).alias("side")).unionByName(heads.withColumn("side", F.lit(0)))
+    task = F.pmod(F.xxhash64("grp", "i"), F.lit(tasks)).alias("task")
+    return texts.join(rows, F.col("id") == F.col("node")).select(task, "grp", "i", F.col("i").alias("j"), "side", "id", F.col("id").alias("joined"), "text")
+
+
+def block_rows(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(task, grp, i, j, side, id, joined, text): the texts that each task compares; ``members`` has (node, grp, joined, n)."""
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp")
     placed = checkpointed(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    total = placed.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nodes")).first()
-    least = TASKS_A_PARTITION * shuffle_width(docs.sparkSession)
-    tasks = int(max(least, total["nodes"] // TASK_NODES, (total["n"] or 0) // TASK_SHINGLES))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    tasks = _tasks(members.sparkSession, placed)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     each = texts.join(placed, F.col("id") == F.col("node")).withColumn("other", other)
-    each = each.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "id", "text", "blocks")
+    each = each.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "id", "joined", "text", "blocks")
     alone = F.pmod(F.xxhash64("grp"), F.lit(tasks)).cast("long")
     return each.withColumn("task", F.when(F.col("blocks") == 1, alone).otherwise(F.xxhash64("grp", "i", "j"))).drop("blocks")
 
@@ -247,16 +284,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(summaries(docs, id_col, text_col, shingle_words), "summaries")
     full = rows.where("n > 0 and id is not null")
     nodes = full.groupBy("content").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    near = neighbourhoods(nodes)
+    met = checkpointed(collisions(nodes))
     # a document may stand for several word sequences if its id is repeated
-    sizes = full.groupBy("id").agg(F.sum("n").alias("n"))
-    members = near.join(sizes, near["node"] == sizes["id"]).select("node", "grp", "n")
+    sizes = full.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(table: pa.Table) -> pa.Table:
         return verify(table, shingle_words, threshold)
 
-    links = block_rows(members, docs, id_col, text_col).groupBy("task").applyInArrow(run, "a long, b long")
-    classes = components(links)
+    def linked(each: DataFrame) -> DataFrame:
+        return checkpointed(each.groupBy("task").applyInArrow(run, "a long, b long"))
+
+    near = linked(star_rows(nearest_heads(met).join(sizes, "node"), texts))
+    rest = linked(block_rows(open_neighbourhoods(met, components(near)).join(sizes, "node"), texts))
+    classes = components(near.unionByName(rest))
     firsts = full.groupBy("content").agg(F.min("id").alias("node"))
     named = firsts.join(classes, "node", "left").select("content", F.coalesce("root", "node").alias("component_id"))
     every = rows.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("content")).alias("content"))
