@@ -2,8 +2,8 @@
 
 Every text is encoded (``tokens``), its end id included.  Texts longer than the longest sequence are
 cut into pieces of that length; all other pieces are whole texts.  Pieces are taken by descending
-length.  One goes into the open bin, of whatever capacity, that it leaves the least room in; if it
-fits nowhere, a bin opens.  Of the capacities that can hold the piece the one opens that costs least
+length.  One goes into the open bin, of whatever capacity, that it leaves the least room in, of
+several such bins into the one opened last; if it fits nowhere, a bin opens.  Of the capacities that can hold the piece the one opens that costs least
 for each token that it may come to hold: the piece, and as much of the remaining room as pieces
 still to come that are no longer than it could fill.  At the end each bin shrinks to the smallest
 permitted capacity that holds its contents.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -64,7 +65,7 @@ def opening(k: int, lengths: list[int], upto: np.ndarray, capacities: tuple[int,
 
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Cost = Cost()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pieces in descending order: the bin, the offset in it and the bin's final capacity."""
-    room: list[list[int]] = [[] for _ in range(max(capacities) + 1)]  # bins by what they can still hold
+    room: list[list[int]] = [[] for _ in range(max(capacities) + 1)]  # heaps of bins, the last first, by what they can still hold
     open_mask = 0  # bit r: some bin has room r
     used: list[int] = []
     each = lengths.tolist()
@@ -74,7 +75,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Co
         fits = open_mask >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
-            b = room[r].pop()
+            b = -heappop(room[r])
             if not room[r]:
                 open_mask ^= 1 << r
         else:
@@ -86,7 +87,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Co
         if left:
             if not room[left]:
                 open_mask |= 1 << left
-            room[left].append(b)
+            heappush(room[left], -b)
     ordered = np.array(sorted(capacities))
     final = ordered[np.searchsorted(ordered, np.array(used, np.int64))] if used else np.zeros(0, np.int64)
     return where, offset, final[where] if len(lengths) else np.zeros(0, np.int64)
