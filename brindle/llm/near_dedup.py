@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import LOWER, NOT_SPACE, mix, pairs, slices, span_hash, word_bounds
-from .shared import checkpointed, shuffle_width, text_or_empty, written
+from .shared import bound_batches, checkpointed, shuffle_width, text_or_empty, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
@@ -244,6 +244,7 @@ def block_rows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str)
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document; links are similarities of at least ``threshold`` percent."""
+    bound_batches(docs.sparkSession)
     rows = written(summaries(docs, id_col, text_col, shingle_words), "summaries")
     full = rows.where("n > 0 and id is not null")
     nodes = full.groupBy("content").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))

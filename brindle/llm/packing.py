@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import bound_batches, text_or_empty
 from .tokens import END_ID, TOKENIZER, ended_rows
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -168,6 +168,7 @@ def packed(
     its shard), which ``piece`` and from which id of the text on (``start``), and where they stand
     (``offset``, ``length``).
     """
+    bound_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     alike = docs.groupBy(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__h")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.octet_length(text) + 1).alias("__bytes"))
     size = alike.agg(F.sum("__bytes").alias("bytes"), F.max("__n").alias("most")).first()

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Where sessions on one machine (tests) keep their tables if no folder is set.
 _LOCAL_ROOT = "/tmp/brindle-shared"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +51,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for the session, unless it says how far itself.
+
+    A batch is held by the executor's JVM and, two at a time, by its Python worker: by default up to
+    64 MB of texts each.  What operators return doesn't depend on where batches end.
+    """
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

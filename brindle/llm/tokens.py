@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import byte_set, mix, slices
-from .shared import shuffle_width, text_or_empty
+from .shared import bound_batches, shuffle_width, text_or_empty
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -302,6 +302,7 @@ def ended_rows(column: pa.Array, tokenizer: str, end_id: int) -> Iterator[tuple[
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, part, begin, n, tokens) in document order: ``begin`` counts the ids before it in its part."""
+    bound_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("__text"))
     ranged = kept.repartitionByRange(shuffle_width(docs.sparkSession), id_col).sortWithinPartitions(id_col, "__text")
     schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, part int, begin long, n long, tokens array<int>"

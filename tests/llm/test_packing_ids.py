@@ -118,3 +118,18 @@ def test_the_opening_follows_what_is_to_come():
     many = [300] * 50
     assert alone.tolist() == [512] and packing.opening(0, [300], upto([300]), caps, packing.Cost()) == 512
     assert packing.opening(0, many, upto(many), caps, packing.Cost()) > 512
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    from brindle.llm import shared
+
+    spark.conf.unset(shared._BATCH_SETTING)
+    shared.bound_batches(spark)
+    assert int(spark.conf.get(shared._BATCH_SETTING)) == shared.BATCH_BYTES
+    spark.conf.set(shared._BATCH_SETTING, "4096")
+    shared.bound_batches(spark)
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 50)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    small = sorted(map(str, packing.packed(docs).collect()))
+    assert spark.conf.get(shared._BATCH_SETTING) == "4096"
+    spark.conf.unset(shared._BATCH_SETTING)
+    assert small == sorted(map(str, packing.packed(docs).collect()))
