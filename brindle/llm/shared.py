@@ -13,6 +13,13 @@ _LOCAL_ROOT = "/tmp/brindle-shared"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch at most.
 BATCH_BYTES = 8 << 20
+#: Rows of an ORC batch as read and as written: whole texts or their ids are long rows.
+ORC_READ_ROWS, ORC_WRITE_ROWS = 256, 128
+_BATCH_SETTINGS = {
+    _BATCH_SETTING: BATCH_BYTES,
+    "spark.sql.orc.columnarReaderBatchSize": ORC_READ_ROWS,
+    "spark.sql.orc.columnarWriterBatchSize": ORC_WRITE_ROWS,
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,13 +59,16 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, for the session, unless it says how far itself.
+    """Bound Arrow batches by bytes and ORC batches by rows, for the session, unless it says how far itself.
 
-    A batch is held by the executor's JVM and, two at a time, by its Python worker: by default up to
-    64 MB of texts each.  What operators return doesn't depend on where batches end.
+    An Arrow batch is held by the executor's JVM and, two at a time, by its Python worker: by default
+    up to 64 MB of texts each.  An ORC batch of lists is one array of eight bytes an entry: by default
+    4,096 rows of it.  What operators return doesn't depend on where batches end.
     """
-    if _BATCH_SETTING not in spark.conf.getAll:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    own = spark.conf.getAll
+    for name, most in _BATCH_SETTINGS.items():
+        if name not in own:
+            spark.conf.set(name, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

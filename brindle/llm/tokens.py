@@ -324,6 +324,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, id
 
 def write_tokens(encoded: DataFrame, path: str, id_col: str = "doc_id", stripe_bytes: int = 16 << 20, row_stride: int = 1000) -> None:
     """One ORC file for each range of documents."""
+    bound_batches(encoded.sparkSession)
     (
         encoded.write.option("compression", "zstd")
         .option("orc.stripe.size", stripe_bytes)
@@ -336,6 +337,7 @@ def write_tokens(encoded: DataFrame, path: str, id_col: str = "doc_id", stripe_b
 
 def read_tokens(spark: SparkSession, path: str, schema, ids: list[int] | None = None, between: tuple[int, int] | None = None, id_col: str = "doc_id") -> DataFrame:
     """The written rows; filters on the id reach the files' statistics and Bloom filters."""
+    bound_batches(spark)
     rows = spark.read.schema(schema).orc(path)
     if between:
         rows = rows.where(F.col(id_col).between(*between))
