@@ -133,3 +133,22 @@ def test_batches_are_bounded_unless_the_session_bounds_them(spark):
     assert spark.conf.get(shared._BATCH_SETTING) == "4096"
     spark.conf.unset(shared._BATCH_SETTING)
     assert small == sorted(map(str, packing.packed(docs).collect()))
+
+
+def test_orc_batches_are_bounded_and_their_size_changes_no_ids(spark, tmp_path):
+    from brindle.llm import shared, tokens
+
+    names = [n for n in shared._BATCH_SETTINGS if ".orc." in n]
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 50)) for i in range(600)], "doc_id long, text string").coalesce(1)
+    got = []
+    for rows in (None, "7", "4096"):
+        for n in names:
+            spark.conf.unset(n) if rows is None else spark.conf.set(n, rows)
+        path = str(tmp_path / f"t{rows}")
+        encoded = tokens.encode(docs)
+        tokens.write_tokens(encoded, path)
+        got.append(sorted(map(str, tokens.read_tokens(spark, path, encoded.schema).select("doc_id", "n", "tokens").collect())))
+        assert [spark.conf.get(n) for n in names] == [rows or str(shared._BATCH_SETTINGS[n]) for n in names]
+    for n in names:
+        spark.conf.unset(n)
+    assert len(names) == 2 and len(got[0]) == 600 and got[0] == got[1] == got[2]
