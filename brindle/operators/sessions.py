@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -200,13 +201,26 @@ def customer_reply(kind: Column, constraints: Column, disclosed: Column, ask: Co
     gives_back = (kind == "boundary") & ~handed_back & ask.isNotNull()
     about = F.when(ask.isin(*vocab.ASKABLE), ask).otherwise(F.lit("other"))
     matches = F.slice(F.filter(constraints, lambda c: ~F.array_contains(disclosed, c) & ((about == "other") | (ex.constraint_class(c) == about))), 1, 2)
-    says = (
-        F.when(gives_back, F.concat(F.lit(HANDS_BACK[0]), ask, F.lit(HANDS_BACK[1])))
-        .when(ask.isNull(), F.lit(NO_QUESTION))
-        .when(F.size(matches) == 0, F.concat(F.lit(NOTHING_MORE[0]), about, F.lit(NOTHING_MORE[1])))
-        .otherwise(F.concat(F.lit(DISCLOSES[0]), F.array_join(matches, DISCLOSES[1]), F.lit(DISCLOSES[2])))
-    )
-    return F.struct(says.alias("message"), F.when(gives_back | ask.isNull(), none).otherwise(matches).alias("told"), (handed_back | gives_back).alias("handed_back"))
+
+    def reply(told: Column) -> Column:
+        says = (
+            F.when(gives_back, F.concat(F.lit(HANDS_BACK[0]), ask, F.lit(HANDS_BACK[1])))
+            .when(ask.isNull(), F.lit(NO_QUESTION))
+            .when(F.size(told) == 0, F.concat(F.lit(NOTHING_MORE[0]), about, F.lit(NOTHING_MORE[1])))
+            .otherwise(F.concat(F.lit(DISCLOSES[0]), F.array_join(told, DISCLOSES[1]), F.lit(DISCLOSES[2])))
+        )
+        return F.struct(says.alias("message"), F.when(gives_back | ask.isNull(), none).otherwise(told).alias("told"), (handed_back | gives_back).alias("handed_back"))
+
+    return _bound(matches, reply)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; a column used in several places is computed in each when projections are merged."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _with(use: Callable, *known) -> Callable[[Column], Column]:
+    return lambda x: use(*known, x)
 
 
 def simulate(customers: DataFrame, asks: list[str | None], turn_of: Column | None = None) -> DataFrame:
@@ -214,7 +228,7 @@ def simulate(customers: DataFrame, asks: list[str | None], turn_of: Column | Non
 
     ``customers`` has (session, kind, category, hard, soft); ``turn_of`` says at which turn one overrides
     (else a hash of the session and kind).  Turn-synchronous: each round is one
-    projection over all sessions, so ten rounds are one plan without a shuffle; a policy that needs a
+    bound value of one projection, so ten rounds are one plan without a shuffle whose work grows with their number; a policy that needs a
     search between rounds checkpoints after each.
     """
     empty = F.array().cast("array<string>")
@@ -223,21 +237,22 @@ def simulate(customers: DataFrame, asks: list[str | None], turn_of: Column | Non
         state = state.withColumn("b", F.col("b").withField("turn", turn_of))
     state = state.withColumn("o", opening_message(F.col("kind"), F.col("category"), F.col("hard"), F.col("b.old")))
     line = lambda turn, message, told, over: F.struct(F.lit(turn).alias("turn"), message.alias("message"), F.size(told).alias("n_told"), over.alias("overridden"))
-    state = state.select(
-        "session", "kind", "b", F.concat("hard", "soft").alias("all"), F.col("o.told").alias("disclosed"), F.lit(False).alias("back"), (F.col("kind") != "intent_override").alias("over"),
-        F.array(line(1, F.col("o.message"), F.col("o.told"), F.col("kind") != "intent_override")).alias("log"),
-    )
+    rows = state.select("session", "kind", "b", "o", F.concat("hard", "soft").alias("all"), (F.col("kind") != "intent_override").alias("over"))
+    first = F.struct(F.col("o.told").alias("disclosed"), F.lit(False).alias("back"), F.col("over").alias("over"), F.array(line(1, F.col("o.message"), F.col("o.told"), F.col("over"))).alias("log"))
+
+    def turned(turn: int, ask: str | None, s: Column) -> Column:
+        def after(r: Column) -> Column:
+            now = ~s["over"] & (F.col("b.turn") == turn)
+            message = F.when(now, F.concat(F.lit(OVERRIDES[0]), F.col("b.new"), F.lit(OVERRIDES[1]))).otherwise(r["message"])
+            told = F.when(now, F.array("b.new")).otherwise(F.coalesce(r["told"], empty))
+            over, back = s["over"] | now, F.when(now, s["back"]).otherwise(r["handed_back"])
+            return F.struct(F.array_union(s["disclosed"], told).alias("disclosed"), back.alias("back"), over.alias("over"), F.array_append(s["log"], line(turn, message, told, over)).alias("log"))
+
+        return _bound(customer_reply(F.col("kind"), F.col("all"), s["disclosed"], F.lit(ask).cast("string"), s["back"]), after)
+
     for turn, ask in enumerate(asks[: vocab.MAX_TURNS - 1], 2):
-        state = state.withColumn("r", customer_reply(F.col("kind"), F.col("all"), F.col("disclosed"), F.lit(ask).cast("string"), F.col("back")))
-        now = ~F.col("over") & (F.col("b.turn") == turn)
-        message = F.when(now, F.concat(F.lit(OVERRIDES[0]), F.col("b.new"), F.lit(OVERRIDES[1]))).otherwise(F.col("r.message"))
-        told = F.when(now, F.array("b.new")).otherwise(F.coalesce("r.told", empty))
-        over = F.col("over") | now
-        state = state.select(
-            "session", "kind", "b", "all", F.array_union("disclosed", told).alias("disclosed"), F.when(now, F.col("back")).otherwise(F.col("r.handed_back")).alias("back"), over.alias("over"),
-            F.array_append("log", line(turn, message, told, over)).alias("log"),
-        )
-    return state.select("session", F.inline("log"))
+        first = _bound(first, _with(turned, turn, ask))
+    return rows.select("session", F.inline(first["log"]))
 
 
 def running_slate(shown: DataFrame) -> DataFrame:
